@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lossweave.llm import decontaminate
+from lossweave.llm import decontaminate, minhash_paths, pii, superkmer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,49 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op4_minhash_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes on 4-word shingles at a similarity of 0.8."""
+    return minhash_paths.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, similarity=80)
+
+
+ORACLES["op4_minhash_paths"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * both >= 80 * (p.n + q.n - both)),
+r AS (SELECT doc_id AS x, doc_id AS c FROM d UNION SELECT l.y, r.c FROM r JOIN l ON r.x = l.x WHERE r.c < l.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, m.c = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(c) AS c FROM r GROUP BY x) m ON m.x = d.doc_id
+"""
+
+
+@_query
+def op5_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans: base patterns plus what the trained span classifier adds."""
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left after 13-word windows that also start in an earlier document are removed."""
+    out = superkmer.remove_repeats(_table(spark, sf_dir, "documents"), hashed=True)
+    return out.withColumnRenamed("kept", "kept_sha256")
+
+
+ORACLES["op7_superkmer"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT g.doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN f ON g.g = f.g WHERE f.first < g.doc_id)),
+ws AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT ws.doc_id, string_agg(ws.w, ' ' ORDER BY ws.p) FILTER (WHERE gone.p IS NULL) AS kept, count(gone.p) AS n_removed FROM ws LEFT JOIN gone ON ws.doc_id = gone.doc_id AND ws.p = gone.p GROUP BY ws.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
 @_query
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents holding 13-word windows of benchmark items."""

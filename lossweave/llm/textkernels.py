@@ -24,6 +24,10 @@ _POW = np.ones(1, np.uint64)
 _INV = np.ones(1, np.uint64)
 
 
+#: Bytes that are worked on at a time where eight bytes are held for each.
+PIECE = 1 << 18
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64, at least n of each."""
     global _POW, _INV
@@ -91,11 +95,19 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE)
 
 
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """64-bit hash of each byte slice, from one running polynomial over the buffer."""
-    power, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1 + salt)) * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64), salt)
+    """64-bit hash of each byte slice (slices in order), from a running polynomial over the buffer."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):  # in pieces that stay in the processor's cache
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
+        piece = data[starts[i] : ends[j - 1]]
+        power, inverse = _powers(len(piece) + 1)
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1 + salt)) * power[: len(piece)], out=total[1:])
+        s, e = starts[i:j] - starts[i], ends[i:j] - starts[i]
+        out[i:j] = (total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)
+        i = j
+    return mix(out, salt)
 
 
 def window_hashes(values: np.ndarray, k: int) -> np.ndarray:
@@ -121,10 +133,17 @@ def ranges(counts: np.ndarray) -> np.ndarray:
 def take_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The slices' bytes, one after another."""
     counts = ends - starts
-    return data[np.repeat(starts, counts) + ranges(counts)]
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    out = np.empty(upto[-1], np.uint8)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + PIECE, "right")) - 1)
+        out[upto[i] : upto[j]] = data[np.repeat(starts[i:j] - upto[i:j], counts[i:j]) + np.arange(upto[i], upto[j])]
+        i = j
+    return out
 
 
-def equal_slices(data: np.ndarray, s1: np.ndarray, e1: np.ndarray, s2: np.ndarray, e2: np.ndarray, step: int = 200_000) -> np.ndarray:
+def equal_slices(data: np.ndarray, s1: np.ndarray, e1: np.ndarray, s2: np.ndarray, e2: np.ndarray, step: int = 20_000) -> np.ndarray:
     """Whether each pair of slices holds the same bytes."""
     same = (e1 - s1) == (e2 - s2)
     for i in range(0, len(s1), step):
