@@ -26,7 +26,7 @@ from lossweave.llm import textkernels as K
 from lossweave.llm.staging import stage
 
 #: Words of a window, adjacent words of a minimiser, bytes of text of a slice and of a bucket.
-WINDOW, MINIMISER, SLICE, BUCKET = 13, 3, 12_000_000, 12_000_000
+WINDOW, MINIMISER, SLICE, BUCKET = 13, 3, 4_000_000, 8_000_000
 
 _BLOB = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("blob", pa.binary())])
 _ANSWER = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("item", pa.binary()), ("shift", pa.binary()), ("least", pa.binary())])
