@@ -8,6 +8,7 @@ from typing import Any, Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 
@@ -129,7 +130,7 @@ def soft_capped(logit: Column, cap: float) -> Column:
     return F.tanh(logit / cap) * cap
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def exact_sum(values: pa.Array) -> pa.Array:
     """Correctly rounded sum of an array of doubles, where a fold would lose bits."""
     return pa.array([None if v is None else math.fsum(v) for v in values.to_pylist()], pa.float64())

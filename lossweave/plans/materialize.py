@@ -104,7 +104,8 @@ def training_set(rows: DataFrame, scores: DataFrame, config: Selection, template
     if max_samples is not None:
         joined = merging.first_rows(joined, max_samples)
     talks = records.conversations(joined.withColumn("bad", F.lit(None).cast("string")))
-    talks = alignment.fail_on(talks.withColumn("_why", F.col("error")), "_why", "row_index").drop("error_type", "error")
+    # Only scored rows must be sound; naming a score column keeps the check above the join.
+    talks = alignment.fail_on(talks.withColumn("_why", F.when(F.col("_selection_sample_id").isNotNull(), F.col("error"))), "_why", "row_index").drop("error_type", "error")
     from lossweave.functions import sequences as S
 
     encoded = talks.withColumn("encoded", S.encoded_turns(F.col("turns"), F.col("system"), template, encode, bos))
