@@ -71,10 +71,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
         out = verified(out).select(*each, (F.col("pos") == 0).alias("first"), F.coalesce("found", F.array()).alias("found"))
     else:
         hit = d.select(*each, F.posexplode("w").alias("pos", "word")).join(anchors, F.col("word") == F.col("anchor"))
-        hit = hit.groupBy(*each, "pos").agg(F.first("entries").alias("entries"))
-        whole = d.select(*each, "lead", "w").dropDuplicates(each)
-        on = [hit[c].eqNullSafe(whole[c]) for c in each]
-        out = verified(hit.join(whole, on).select(*[whole[c] for c in each], "lead", "w", "pos", "entries")).select(*each, F.lit(False).alias("first"), "found")
+        hit = hit.groupBy(*[F.col(c).alias(f"h_{c}") for c in each], "pos").agg(F.first("entries").alias("entries"))
+        whole = d.dropDuplicates(each)
+        out = verified(hit.join(whole, [F.col(f"h_{c}").eqNullSafe(F.col(c)) for c in each])).select(*each, F.lit(False).alias("first"), "found")
         out = out.union(d.select(*each, F.lit(True), F.array().cast(out.schema["found"].dataType)))
     # No filter on "found": it would be evaluated in the codegen'd probe, which would copy w for every word.
     spot = F.collect_set(F.when(F.size("found") > 0, F.col("found")))
