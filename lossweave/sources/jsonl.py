@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 SCORE_COLUMNS = ("sample_id", "sequence_token_count", "response_token_count", "baseline_response_target_nll_sum", "token_scores")
 SCORE_SCHEMA = "_source_index long, _score_method string, sample_id string, sequence_token_count int, response_token_count int, baseline_response_target_nll_sum double, token_scores array<double>"
@@ -49,22 +49,24 @@ def strict(rows: DataFrame) -> DataFrame:
     return p.withColumn("record", F.parse_json(F.when(F.col("bad").isNull(), F.col("value")).otherwise(fail.cast("string")))).drop("bad")
 
 
+#: Lines that are put in order together when an order is checked.
+BLOCK = 1_000_000
+
+
 def _increasing(rows: DataFrame, key: str, what: str) -> DataFrame:
     """rows, failing where ``key`` does not grow from line to line.
 
-    The order is checked on (line, key) pairs only, in one range-sorted pass per
-    block of lines, with block edges checked on their own.
+    Lines are compared within blocks of ``BLOCK``; a block's first line is
+    compared with the largest key of all blocks before, a table of one row per
+    block.
     """
-    step = F.lag(key).over(_by_block())
-    marked = rows.withColumn("_block", F.floor(F.col("line_index") / 1_000_000)).withColumn("_before", step)
+    block = F.floor(F.col("line_index") / BLOCK)
+    w = Window.partitionBy("_block").orderBy("line_index")
+    tops = rows.groupBy(block.alias("_block")).agg(F.max(key).alias("_top"))
+    tops = tops.select("_block", F.expr("max(_top) over (order by _block rows between unbounded preceding and 1 preceding)").alias("_above"))
+    marked = rows.withColumn("_block", block).join(F.broadcast(tops), "_block").withColumn("_before", F.coalesce(F.lag(key).over(w), "_above"))
     fail = F.raise_error(F.concat(F.lit(f"{what}: index not increasing at line "), (F.col("line_index") + 1).cast("string")))
-    return marked.where(F.when(F.col("_before") >= F.col(key), fail.cast("boolean")).otherwise(True)).drop("_block", "_before")
-
-
-def _by_block():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("_block").orderBy("line_index")
+    return marked.where(F.when(F.col("_before") >= F.col(key), fail.cast("boolean")).otherwise(True)).select(*rows.columns)
 
 
 def scores(spark: SparkSession, path: str, method: str | None = None, public: bool = True) -> DataFrame:

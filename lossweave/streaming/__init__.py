@@ -1,0 +1 @@
+"""Empty on purpose: scores belong to the rows of finished files by position, which a stream does not have."""

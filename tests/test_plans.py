@@ -62,6 +62,18 @@ def test_score_run_and_resume(spark, tmp_path):
     assert training_set(data, jsonl.scores(spark, str(masks)), Selection(score_file="x", ignore_zero_scores_only=True), "qwen3_nothink", code_points(), 1000, max_samples=1).count() == 1
 
 
+def test_order_is_checked(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jsonl, "BLOCK", 3)
+    row = lambda i: json.dumps({"sample_id": str(i), "sequence_token_count": 2, "response_token_count": 1, "baseline_response_target_nll_sum": 0.5, "token_scores": [0.5]})
+    path = tmp_path / "s.jsonl"
+    path.write_text("\n".join(map(row, (0, 1, 3, 4, 7, 8, 9))))
+    assert jsonl.scores(spark, str(path)).count() == 7
+    for bad in ((0, 1, 1), (0, 1, 2, 2, 5), (5, 6, 7, 1), ("x", 1)):
+        path.write_text("\n".join(map(row, bad)))
+        with pytest.raises(PySparkException):
+            jsonl.scores(spark, str(path)).collect()
+
+
 def test_scorers(spark):
     grad = scorers.gradient_scorer(lambda ids, t: ({2: -1.25, 3: 2.5}, 3.0))()
     assert grad([1, 2, 3, 4], [2, 3], [2, 3]) == ([1.25, -2.5], 3.0)
