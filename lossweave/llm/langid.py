@@ -23,7 +23,8 @@ from lossweave.llm import textkernels as K
 SAMPLE, BITS = 1500, 16
 #: Cost of changing the language between two words, in nats; share of a language's words that makes a script its own.
 SWITCH, OWN_SCRIPT = 14.0, 0.002
-SLICE = 8_000_000
+#: Bytes of text whose documents are labelled together, and whose n-grams are held at once.
+SLICE, PART = 6_000_000, 1_000_000
 
 # Bytes that end a word: ASCII but letters (texts come lower-cased). All of a longer character's bytes are inside.
 _GAP = np.ones(256, bool)
@@ -78,7 +79,7 @@ def _count(languages: list[str]):
             lang = np.array([languages.index(x) for x in batch.column(1).to_pylist()])
             for k in np.unique(lang):
                 data, off = K.utf8(batch.column(0).filter(pa.array(lang == k)))
-                for i, j in K.slices(off, SLICE):
+                for i, j in K.slices(off, PART):
                     _, g3, g4, _, script, _ = _grams(data[off[i] : off[j]], off[i : j + 1] - off[i])
                     total[k, :size] += np.bincount(g3, minlength=size)
                     total[k, size : 2 * size] += np.bincount(g4, minlength=size)
@@ -143,9 +144,9 @@ def viterbi(score: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarray:
         change[at], source[at] = moved, best
         v = np.maximum(v, jump, out=v)
         v += score[at]
-        if n < len(active) and (t + 1 == longest or active[t + 1] < n):
-            ends = slice(active[t + 1] if t + 1 < longest else 0, n)
-            label[at[ends]] = v[ends].argmax(1)
+        rest = active[t + 1] if t + 1 < longest else 0
+        if rest < n:  # documents that end here
+            label[at[rest:n]] = v[rest:n].argmax(1)
     one = slice(active[1] if longest > 1 else 0, active[0])
     label[first[one]] = score[first[one]].argmax(1)
     for t in range(longest - 1, 0, -1):
@@ -155,6 +156,18 @@ def viterbi(score: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarray:
     return label
 
 
+def _scores(m: dict, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of each word by language, words of each document, bytes of each word."""
+    begin, g3, g4, counts, script, size = _grams(data, off)
+    score = np.empty((len(begin), len(m["languages"])), np.float32)
+    edge = np.append(begin, len(g3))
+    for a in range(0, len(begin), 20_000):
+        b = min(len(begin), a + 20_000)
+        s = slice(edge[a], edge[b])
+        score[a:b] = np.add.reduceat(m["g3"][g3[s]] + m["g4"][g4[s]], begin[a:b] - edge[a], axis=0)
+    return score + m["own"][script], counts, size
+
+
 def _predict(model, switch: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -165,16 +178,12 @@ def _predict(model, switch: float):
             lang = np.full(batch.num_rows, "und", object)
             share = np.zeros(batch.num_rows)
             for i, j in K.slices(off, SLICE):
-                begin, g3, g4, counts, script, size = _grams(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                if not len(begin) or not len(names):
+                if not len(names):
+                    continue
+                parts = [_scores(m, data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in ((i + x, i + y) for x, y in K.slices(off[i : j + 1], PART))]
+                score, counts, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+                if not len(score):
                     continue
-                score = np.empty((len(begin), len(names)), np.float32)
-                edge = np.append(begin, len(g3))
-                for a in range(0, len(begin), 50_000):
-                    b = min(len(begin), a + 50_000)
-                    s = slice(edge[a], edge[b])
-                    score[a:b] = np.add.reduceat(m["g3"][g3[s]] + m["g4"][g4[s]], begin[a:b] - edge[a], axis=0)
-                score += m["own"][script]
                 label = viterbi(score, counts, switch)
                 owner = np.repeat(np.arange(j - i), counts)
                 mass = np.bincount(owner * len(names) + label, weights=size, minlength=(j - i) * len(names)).reshape(j - i, -1)
