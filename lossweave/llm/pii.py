@@ -15,7 +15,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lossweave.llm.staging import drop, stage
+from lossweave.llm.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
 #: Code points before a span that the context labeler and classifier read.
@@ -227,4 +227,4 @@ def digest(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
         F.sha2(said(base), 256).alias("base_sha256"), said(F.col("_spans")).alias("spans"))
 
 
-__all__ = ["candidates", "detect", "digest", "drop", "fit", "redact", "resolve"]
+__all__ = ["candidates", "detect", "digest", "fit", "redact", "resolve"]

@@ -7,6 +7,8 @@ A staged table cuts lineage and survives lost executors, unlike a cache.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
         if _own is None:
             _own = tempfile.mkdtemp(prefix="lossweave-")
+            atexit.register(shutil.rmtree, _own, True)
         return f"file://{_own}"
     raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
@@ -45,7 +48,3 @@ def drop(df: DataFrame) -> None:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at.getParent(), True)
 
-
-def documents(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns only, so that extra columns never reach a shuffle or clash with an operator's own."""
-    return df.select(*columns)
