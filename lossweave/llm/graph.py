@@ -1,9 +1,9 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds.
+"""Connected components of an edge table by contraction to stars and pointer jumping.
 
 Edges are contracted inside each task first (union-find, at most one edge per
-node and task leaves it), so the rounds work on about as many edges as nodes.
-Minima are aggregated map-side; a node with very many neighbours is a skewed
-join key that adaptive execution splits.  Nothing is collected.
+node and task leaves it), so the rounds work on about as many edges as nodes,
+and a node with very many neighbours has one edge from each task.  Nothing is
+collected.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lossweave.llm.staging import drop, stage
+from lossweave.llm.staging import stage
 
 EDGE = "hi long, lo long"
 
@@ -54,22 +54,18 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node on an edge; the component is its smallest node id.
 
     Self-loops and repeated edges change nothing; an edge with a null end is ignored; no edges, no rows.
+
+    A round brings a node's edges together, where they are contracted to stars,
+    and lets each node jump to its parent's parents.  Nothing is left to do once
+    no parent has a parent of its own.
     """
     spark = edges.sparkSession
     e = edges.select(F.col(a).cast("long").alias("hi"), F.col(b).cast("long").alias("lo")).where("hi is not null and lo is not null and hi <> lo")
-    e = stage(e.mapInArrow(contract, EDGE), "edges")
-    before = None
+    e = e.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).mapInArrow(contract, EDGE)
     while True:
-        both = e.union(e.select("lo", "hi"))
-        least = both.groupBy(F.col("hi").alias("n")).agg(F.min("lo").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = both.where("lo > hi").join(least, F.col("hi") == F.col("n")).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
-        small = large.groupBy(F.col("hi").alias("n")).agg(F.min("lo").alias("m"))
-        moved = large.join(small, F.col("hi") == F.col("n")).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        nxt = stage(moved.union(small.select("n", "m")).distinct().mapInArrow(contract, EDGE).distinct(), "edges")
-        now = nxt.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.lit(0)), F.countDistinct("hi")).first()
-        drop(e)
-        e = nxt
-        if tuple(now) == before:
+        stars = stage(e.repartition("hi").mapInArrow(contract, EDGE), "edges")
+        above = stars.select(F.col("hi").alias("lo"), F.col("lo").alias("top"))
+        if stars.join(above, "lo", "left_semi").isEmpty():
             break
-        before = tuple(now)
-    return spark.createDataFrame([], "node long, component long").union(e.select("hi", "lo")).union(e.select("lo", "lo").distinct())
+        e = stars.join(above, "lo", "left").select("hi", F.coalesce("top", "lo").alias("lo"))
+    return spark.createDataFrame([], "node long, component long").union(stars).union(stars.select("lo", "lo").distinct())

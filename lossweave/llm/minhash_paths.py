@@ -9,8 +9,9 @@ compared exhaustively, a larger one branches again.  Nodes that stay large down
 to the last level are compared exhaustively too, in pairs of blocks.
 
 Candidates are confirmed on full shingle sets.  First each class is confirmed
-against its most similar partner in the node; what these links leave in
-different components is then confirmed pair by pair.
+against its most similar partner in the node.  Where these links leave
+candidates in different components, the classes concerned bring their sets to
+the node, which compares them all and sends a forest of the links it finds.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lossweave.llm import textkernels as K
-from lossweave.llm.graph import components
+from lossweave.llm.graph import components, forest
 from lossweave.llm.staging import drop, stage
 
 #: Minwise tokens of a class, independent trees, largest node that is compared as one, and levels.
-TOKENS, TREES, NODE, LEVELS = 64, 16, 512, 12
+TOKENS, TREES, NODE, LEVELS = 64, 16, 2048, 12
 #: Agreeing tokens from which a pair is confirmed: 4.5 standard deviations below the threshold's mean.
 SLACK = 4.5
 
@@ -104,12 +105,33 @@ def _branches(similarity: float):
     return run
 
 
+def _by_node(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Whole nodes of rows that come sorted by path, about ``rows`` at a time."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        if held.num_rows < rows:
+            continue
+        path = held["path"].to_numpy()
+        before = np.flatnonzero(path != path[-1])
+        if len(before):  # the last node may go on in the next batch
+            yield held.slice(0, int(before[-1]) + 1).combine_chunks()
+            held = held.slice(int(before[-1]) + 1)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
 def _pairs(similarity: int, whole: bool):
-    """Candidate pairs of rows that come sorted by node; whole: all of them, else each row's best earlier partner."""
+    """Candidates of rows that come sorted by node: each row's best earlier partner as (a, b).
+
+    whole: instead, the rows that have a candidate in another component, as (path, rep, n, comp).  Their path
+    is a hash of the node's rows so marked: nodes of several trees that mark the same rows are one.
+    """
     p = similarity / 100
     least = int(np.floor(TOKENS * p - SLACK * np.sqrt(TOKENS * p * (1 - p))))
 
-    def of(path, block, rep, n, sig, comp):
+    def of(path, block, rep, n, sig, comp, mark):
         new = np.ones(len(path), bool)
         new[1:] = path[1:] != path[:-1]
         ends = np.append(np.flatnonzero(new)[1:], len(path))[np.cumsum(new) - 1]
@@ -128,7 +150,10 @@ def _pairs(similarity: int, whole: bool):
                 same[s : s + 50_000] = (sig[i[s : s + 50_000]] == sig[j[s : s + 50_000]]).sum(1)
             ok = same >= least
             i, j, same = i[ok], j[ok], same[ok]
-            if not whole and len(j):
+            if whole:
+                mark[i] = mark[j] = True
+                continue
+            if len(j):
                 order = np.lexsort((-same, j))
                 j, i = j[order], i[order]
                 first = np.ones(len(j), bool)
@@ -138,27 +163,62 @@ def _pairs(similarity: int, whole: bool):
                 yield np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
 
     def run(batches):
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows < 4096:
-                continue
-            path = held["path"].to_numpy()
-            before = np.flatnonzero(path != path[-1])
-            cut = int(before[-1]) + 1 if len(before) else 0  # the last node may go on in the next batch
-            if cut:
-                yield from emit(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield from emit(held)
-
-    def emit(t):
-        t = t.combine_chunks()
-        path, block, rep, n, comp = (t[c].to_numpy() for c in ("path", "block", "rep", "n", "comp"))
-        sig = _matrix(t["sig"].chunk(0))
-        for a, b in of(path, block, rep, n, sig, comp):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for t in _by_node(batches, 4096):
+            path, block, rep, n, comp = (t[c].to_numpy() for c in ("path", "block", "rep", "n", "comp"))
+            mark = np.zeros(len(path), bool)
+            for a, b in of(path, block, rep, n, _matrix(t["sig"].chunk(0)), comp, mark):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            if mark.any():
+                path, rep, n, comp = path[mark], rep[mark], n[mark], comp[mark]
+                head = np.append(True, path[1:] != path[:-1])
+                key = K.mix(np.add.reduceat(K.mix(rep.view(np.uint64), 26), np.flatnonzero(head)), 27).view(np.int64)[np.cumsum(head) - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, rep, n, comp)], ["path", "rep", "n", "comp"])
+
+    return run
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairs' intersections, by products of incidence matrices over the shingles that two sets or more hold."""
+    m = len(sets)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    column = np.cumsum(new) - 1
+    common = np.bincount(column)[column] > 1
+    owner, column = owner[common], column[common]
+    out = np.zeros((m, m), np.float32)  # exact up to 2**24 shingles
+    if not len(column):
+        return out
+    column = np.cumsum(np.diff(column, prepend=column[0]) != 0)
+    width = min(int(column[-1]) + 1, max(256, 2_000_000 // m))
+    for a in range(0, int(column[-1]) + 1, width):
+        s = slice(*np.searchsorted(column, (a, a + width)))
+        incidence = np.zeros((m, width), np.float32)
+        incidence[owner[s], column[s] - a] = 1
+        out += incidence @ incidence.T
+    return out
+
+
+def _exhaust(similarity: int):
+    """Links between different components of a node, as a forest."""
+
+    def run(batches):
+        for t in _by_node(batches, 256):
+            path, rep, n, comp = (t[c].to_numpy() for c in ("path", "rep", "n", "comp"))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["set"].chunk(0)]
+            edge = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
+            for u, v in zip(edge, np.append(edge[1:], len(path)), strict=True):
+                if v - u < 2:
+                    continue
+                both = _shared(sets[u:v])
+                size = n[u:v].astype(np.float64)
+                ok = (100 * both.astype(np.float64) >= similarity * (size[:, None] + size[None, :] - both)) & (comp[u:v, None] != comp[None, u:v])
+                i, j = np.nonzero(np.triu(ok, 1))
+                if len(i):
+                    hi, lo = forest(rep[u:v][i], rep[u:v][j])
+                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
 
     return run
 
@@ -198,21 +258,25 @@ def _confirm(similarity: int):
     return run
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """The pairs whose full sets are similar enough.
+def _full_sets(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """(rep, set) of the named documents, staged.
 
-    A bit table of at most 8 MB (2**26 bits, whatever the corpus) keeps documents
-    in no pair from being cut into shingles again; the join after it is exact.
+    A bit table of at most 8 MB (2**26 bits, whatever the corpus) keeps most
+    other documents from being cut into shingles again; joins on rep are exact.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    n = ends.count()
+    n = reps.count()
     size = 1 << min(26, max(16, (16 * n).bit_length()))
     h = F.xxhash64("rep")
-    words = ends.groupBy(F.shiftrightunsigned(h.bitwiseAND(size - 1), 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(rep) & 63 as int))")).alias("v"))
+    words = reps.groupBy(F.shiftrightunsigned(h.bitwiseAND(size - 1), 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(rep) & 63 as int))")).alias("v"))
     bits = np.zeros(size // 64, np.uint64)
-    for r in words.toLocalIterator():
-        bits[r.w] = np.uint64(r.v & 0xFFFFFFFFFFFFFFFF)
-    sets = stage(docs.withColumn("h", F.xxhash64("doc")).mapInArrow(_sets(shingle, bits), "rep long, set binary"), "sets")
+    table = words.toArrow()
+    bits[table["w"].to_numpy()] = table["v"].to_numpy().view(np.uint64)
+    return stage(docs.withColumn("h", F.xxhash64("doc")).mapInArrow(_sets(shingle, bits), "rep long, set binary"), "sets")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    sets = _full_sets(docs, pairs.select("a").union(pairs.select("b")).toDF("rep").distinct(), shingle)
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
     links = stage(both.mapInArrow(_confirm(similarity), "a long, b long"), "links")
@@ -261,14 +325,16 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", sh
     def candidates(comp: DataFrame | None) -> DataFrame:
         n = nodes.withColumn("comp", F.col("rep")) if comp is None else nodes.join(comp, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
         n = n.select("path", "block", "rep", "n", "sig", "comp").repartition("path").sortWithinPartitions("path")
-        return n.mapInArrow(_pairs(similarity, comp is not None), "a long, b long").distinct()
+        return n.mapInArrow(_pairs(similarity, comp is not None), "a long, b long" if comp is None else "path long, rep long, n long, comp long")
 
-    first = stage(candidates(None), "pairs")
-    links = _confirmed(d, first, shingle, similarity)
+    links = _confirmed(d, stage(candidates(None).distinct(), "pairs"), shingle, similarity)
     comp = stage(components(links, "a", "b"), "components")
-    rest = stage(candidates(comp).join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = stage(candidates(comp).dropDuplicates(["path", "rep"]), "rest")
     if not rest.isEmpty():
-        more = _confirmed(d, rest, shingle, similarity)
+        sets = _full_sets(d, rest.select("rep").distinct(), shingle)
+        whole = rest.join(sets, "rep").select("path", "rep", "n", "comp", "set").repartition("path").sortWithinPartitions("path")
+        more = stage(whole.mapInArrow(_exhaust(similarity), "a long, b long"), "links")
+        drop(sets)
         if not more.isEmpty():
             comp = stage(components(links.union(more), "a", "b"), "components")
     moved = classes.join(comp, F.col("rep") == F.col("node"), "left").where("copies > 1 or component is not null")
