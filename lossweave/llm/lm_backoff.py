@@ -24,6 +24,8 @@ from lossweave.llm.superkmer import _framed, _open, _slices, _texts, _unframed
 
 #: Longest n-gram, factor of each backing off, and distinct n-grams of a count partition (about).
 ORDER, ALPHA, PARTITION = 3, 0.4, 1_000_000
+#: Bytes of text of a slice (larger ones repeat fewer n-grams) and the compression of slices on their way.
+SLICE, LEVEL = 10_000_000, 9
 
 _ASKED = pa.schema([("part", pa.int32()), ("slice", pa.int64()), ("blob", pa.binary())])
 _OUT = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("log10_score", pa.float64()), ("n_backoff", pa.int64())])
@@ -56,11 +58,13 @@ def _unplaned(x: np.ndarray, kind) -> np.ndarray:
 
 def _ask(bits: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, _, data, off in _slices(batches):
-            prints = np.concatenate(_grams(data, off, order)[3])
-            if not len(prints):
+        for name, _, _, data, off in _slices(batches, SLICE):
+            found = [np.unique(x, return_counts=True) for x in _grams(data, off, order)[3]]
+            distinct, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+            if not len(distinct):
                 continue
-            distinct, counts = np.unique(prints, return_counts=True)
+            at = np.argsort(distinct, kind="stable")
+            distinct, counts = distinct[at], counts[at]
             part = (distinct >> np.uint64(64 - bits)).astype(np.int64)
             edge = np.searchsorted(part, np.arange((1 << bits) + 1))
             rows = []
@@ -104,18 +108,17 @@ def _score(bits: int, order: int, alpha: float, tokens: int):
             parts = answers["part"].to_numpy() if answers.num_rows else np.zeros(0)
             mine = [i for x, i in enumerate(by_part) if not (x and parts[by_part[x - 1]] == parts[i])]
             counts = np.concatenate([_unplaned(_unframed(answers["blob"][int(i)].as_py(), (np.uint8,))[0], np.uint64) for i in mine]) if mine else np.zeros(0, np.uint64)
-            _, at = np.unique(np.concatenate(prints), return_inverse=True)
             owner = np.repeat(np.arange(len(count)), count)
+            found = [np.unique(x, return_inverse=True) for x in prints]
+            edge = np.cumsum([0, *(len(x) for x, _ in found)])
+            total = np.zeros(edge[-1], np.int64)
+            total[np.argsort(np.concatenate([x for x, _ in found]), kind="stable")] = counts
             # Corpus counts without the document's own.
-            whose = np.concatenate([owner[p] for p in places])
-            key = whose.astype(np.int64) * max(1, len(counts)) + at
-            _, group, own = np.unique(key, return_inverse=True, return_counts=True)
-            rest = counts[at].astype(np.int64) - own[group]
             left = []
-            for n, p in enumerate(places):
+            for n, (p, (distinct, at)) in enumerate(zip(places, found, strict=True)):
+                _, group, own = np.unique(owner[p] * max(1, len(distinct)) + at, return_inverse=True, return_counts=True)
                 r = np.zeros(total_words, np.int64)
-                a = sum(map(len, places[:n]))
-                r[p] = rest[a : a + len(p)]
+                r[p] = total[edge[n] : edge[n + 1]][at] - own[group]
                 left.append(r)
             here = np.arange(total_words) - np.repeat(first[:-1], count)
             best = (left[0] + 1) / (tokens - count[owner] + 1).astype(np.float64)
@@ -153,7 +156,7 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", order: int =
     bits = max(2, (order * tokens // PARTITION).bit_length())
     asked = d.mapInArrow(_ask(bits, order), "part int, slice long, blob binary")
     answers = asked.groupBy("part").applyInArrow(_answer(bits), "part int, slice long, blob binary")
-    texts = d.mapInArrow(_texts, "slice long, doc binary, nulls binary, blob binary, off binary")
+    texts = d.mapInArrow(_texts(SLICE, LEVEL), "slice long, doc binary, nulls binary, blob binary, off binary")
     out = texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_score(bits, order, alpha, tokens), "doc long, n_words long, log10_score double, n_backoff long")
     return out.withColumnRenamed("doc", doc)
 

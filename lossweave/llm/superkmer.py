@@ -33,17 +33,18 @@ _ANSWER = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("item", pa.
 _TEXT = pa.schema([("slice", pa.int64()), ("doc", pa.binary()), ("nulls", pa.binary()), ("blob", pa.binary()), ("off", pa.binary())])
 _OUT = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
-_pack = lambda x: pa.compress(x, codec="zstd", asbytes=True)
+#: Compression of packed words on their way.
+LEVEL = 6
 
 
 def _open(blob: bytes, size: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, size, codec="zstd", asbytes=True), np.uint8)
 
 
-def _framed(*arrays: np.ndarray) -> bytes:
+def _framed(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed binary, with their sizes in front."""
     raw = b"".join(a.tobytes() for a in arrays)
-    return np.array([len(arrays), *[a.nbytes for a in arrays]], np.int64).tobytes() + _pack(raw)
+    return np.array([len(arrays), *[a.nbytes for a in arrays]], np.int64).tobytes() + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def _unframed(blob: bytes, kinds: tuple) -> list[np.ndarray]:
@@ -104,14 +105,14 @@ def _merged(data, starts, ends, value, word, size, bucket, window):
     return order[~twin], item
 
 
-def _slices(batches: Iterator[pa.RecordBatch]):
+def _slices(batches: Iterator[pa.RecordBatch], size: int = SLICE):
     """(slice id, document ids, null ids, bytes, offsets); the id is a hash of all it holds."""
     for batch in batches:
         data, off = K.utf8(batch.column(1))
         doc = batch.column(0).cast(pa.int64())
         nulls = np.array(doc.is_null())
         doc = doc.fill_null(np.iinfo(np.int64).max).to_numpy()
-        for i, j in K.slices(off, SLICE):
+        for i, j in K.slices(off, size):
             d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
             seal = hashlib.blake2b(doc[i:j].tobytes() + o.tobytes(), digest_size=8)
             seal.update(d)
@@ -140,7 +141,7 @@ def _send(buckets: int, window: int):
             cut = np.flatnonzero(np.diff(bucket[pick])) + 1
             froms, tos = np.append(0, cut), np.append(cut, len(pick))
             begin = np.append(0, stops)
-            rows = [(int(bucket[pick[a]]), name, _framed(text[begin[a] : begin[b]], least[a:b], most[a:b])) for a, b in zip(froms, tos, strict=True)]
+            rows = [(int(bucket[pick[a]]), name, _framed(text[begin[a] : begin[b]], least[a:b], most[a:b], level=LEVEL)) for a, b in zip(froms, tos, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOB.types, strict=True)], schema=_BLOB)
 
     return run
@@ -193,9 +194,15 @@ def _judge(window: int):
     return run
 
 
-def _texts(batches):
-    for name, doc, nulls, data, off in _slices(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((name, doc.tobytes(), nulls.tobytes(), _pack(data.tobytes()), off.tobytes()), _TEXT.types, strict=True)], schema=_TEXT)
+def _texts(size: int = SLICE, level: int = LEVEL):
+    """The slices themselves, compressed at the level."""
+
+    def run(batches):
+        codec = pa.Codec("zstd", compression_level=level)
+        for name, doc, nulls, data, off in _slices(batches, size):
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((name, doc.tobytes(), nulls.tobytes(), codec.compress(data.tobytes(), asbytes=True), off.tobytes()), _TEXT.types, strict=True)], schema=_TEXT)
+
+    return run
 
 
 def _mark(buckets: int, window: int, hashed: bool):
@@ -260,6 +267,6 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", win
     types = ", ".join
     sent = d.mapInArrow(_send(buckets, window), "bucket int, slice long, blob binary")
     answers = stage(sent.groupBy("bucket").applyInArrow(_judge(window), types(["slice long", "bucket int", "item binary", "shift binary", "least binary"])), "answers")
-    texts = d.mapInArrow(_texts, "slice long, doc binary, nulls binary, blob binary, off binary")
+    texts = d.mapInArrow(_texts(), "slice long, doc binary, nulls binary, blob binary, off binary")
     out = texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_mark(buckets, window, hashed), "doc long, n_words long, n_removed long, kept string")
     return out.select(F.col("doc").alias(doc), "n_words", "n_removed", "kept")
