@@ -82,18 +82,28 @@ def byte_ids(texts: list[str]) -> list[np.ndarray]:
     return [np.frombuffer(t.encode(), np.uint8).astype(np.uint16) for t in texts]
 
 
-def rank_file_ids(path: str, pattern: str):
-    """Encoder over a byte-level rank file ('token-in-base64 rank' lines); each process reads it once."""
+# Fixed value: how byte-level vocabularies of this kind split a text before merging.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def rank_file_ids(path: str, pattern: str = PIECES):
+    """Encoder over a byte-level rank file ('token-in-base64 rank' lines, at most 65,536 tokens).
+
+    The driver reads the file, a few hundred kilobytes, and sends it with the
+    task; each Python worker builds its tables once.  Such ids lose nothing:
+    the tokens' bytes, joined, are the text's.
+    """
+    with open(path, "rb") as f:
+        raw = f.read()
     held: list = []
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         if not held:
             import tiktoken
 
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
             held.append(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
-        return [np.array(x, np.uint16) for x in held[0].encode_ordinary_batch(texts, num_threads=1)]
+        return [held[0].encode_to_numpy(t, disallowed_special=()).astype(np.uint16) for t in texts]
 
     return encode
 

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lossweave.llm import best_fit_pack, decontaminate, ego_join, html_extract, langid, length_buckets, lm_backoff, minhash_paths, pii, superkmer
 
+#: Vocabulary of the packing query: a byte-level rank file of 50,256 tokens.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -161,5 +164,5 @@ FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN its ON d.doc_id = its.do
 
 @_query
 def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's byte ids in rows of 4096, packed best fit first."""
-    return best_fit_pack.pack(_table(spark, sf_dir, "documents"))
+    """Every document's token ids in rows of 4096, packed best fit first."""
+    return best_fit_pack.pack(_table(spark, sf_dir, "documents"), encode=best_fit_pack.rank_file_ids(VOCABULARY))

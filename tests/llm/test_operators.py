@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lossweave.llm import best_fit_pack, decontaminate, ego_join, html_extract, langid, length_buckets, lm_backoff, minhash_paths, pii, superkmer
 from lossweave.llm.graph import components
-from lossweave.llm.queries import QUERIES
+from lossweave.llm.queries import QUERIES, VOCABULARY
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Columns whose names the operators use inside.
@@ -285,6 +285,24 @@ def test_packing_round_trip(spark):
     assert parts[3] == 2 * len(next(t for i, t in rows if i == 3).encode())
 
 
+def test_packing_with_a_vocabulary(spark):
+    import base64
+    import os
+
+    if not os.path.exists(VOCABULARY):
+        pytest.skip("no vocabulary here")
+    with open(VOCABULARY, "rb") as f:
+        token = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    rows = [(1, "The quick brown fox's tail, 日本語 \n\n x"), (2, "é" * 500), (4, None), (5, "<|endoftext|> a  b")]
+    got = best_fit_pack.pack(table(spark, rows), row=32, encode=best_fit_pack.rank_file_ids(VOCABULARY)).collect()
+    whole = defaultdict(list)
+    for r in got:
+        ids = np.frombuffer(r.ids, np.uint16)
+        for a, b, d, p in zip(r.cu_seqlens, r.cu_seqlens[1:], r.docs, r.pieces):
+            whole[d].append((p, b"".join(token[x] for x in ids[a:b].tolist())))
+    assert {i: b"".join(x for _, x in sorted(whole[i])).decode() for i, t in rows if t} == {i: t for i, t in rows if t}
+
+
 def test_empty_tables(spark):
     d, b = table(spark, []), spark.createDataFrame([], "item_id long, text string")
     v = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
