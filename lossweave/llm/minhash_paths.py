@@ -137,6 +137,7 @@ def _pairs(similarity: int, whole: bool):
         ends = np.append(np.flatnonzero(new)[1:], len(path))[np.cumsum(new) - 1]
         counts = ends - np.arange(len(path)) - 1
         total = np.concatenate([[0], np.cumsum(counts)])
+        partner, score = np.full(len(path), -1), np.zeros(len(path), np.int64)
         v = 0
         while v < len(path):
             u, v = v, max(v + 1, int(np.searchsorted(total, total[v] + 100_000, "right")) - 1)
@@ -159,8 +160,11 @@ def _pairs(similarity: int, whole: bool):
                 first = np.ones(len(j), bool)
                 first[1:] = j[1:] != j[:-1]
                 i, j = i[first], j[first]
-            if len(i):
-                yield np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+                better = same[order][first] > score[j]
+                partner[j[better]], score[j[better]] = i[better], same[order][first][better]
+        j = np.flatnonzero(partner >= 0)
+        if len(j):
+            yield np.minimum(rep[partner[j]], rep[j]), np.maximum(rep[partner[j]], rep[j])
 
     def run(batches):
         for t in _by_node(batches, 4096):
