@@ -56,16 +56,18 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Self-loops and repeated edges change nothing; an edge with a null end is ignored; no edges, no rows.
 
     A round brings a node's edges together, where they are contracted to stars,
-    and lets each node jump to its parent's parents.  Nothing is left to do once
-    no parent has a parent of its own.
+    and lets each node jump to its parent's smallest parent.  A task also makes
+    stars of nodes whose other edges lie in other tasks, so nothing is left to do
+    only once each node has one parent and no parent has a parent of its own.
+    Until then a round lowers some edge's ends and raises none, so rounds end.
     """
     spark = edges.sparkSession
     e = edges.select(F.col(a).cast("long").alias("hi"), F.col(b).cast("long").alias("lo")).where("hi is not null and lo is not null and hi <> lo")
     e = e.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).mapInArrow(contract, EDGE)
     while True:
-        stars = stage(e.repartition("hi").mapInArrow(contract, EDGE), "edges")
-        above = stars.select(F.col("hi").alias("lo"), F.col("lo").alias("top"))
-        if stars.join(above, "lo", "left_semi").isEmpty():
+        stars = stage(e.repartition("hi").mapInArrow(contract, EDGE).distinct(), "edges")
+        above = stars.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("top"), F.max("lo").alias("most"))
+        if above.where("top <> most").isEmpty() and stars.join(above, "lo", "left_semi").isEmpty():
             break
         e = stars.join(above, "lo", "left").select("hi", F.coalesce("top", "lo").alias("lo"))
     return spark.createDataFrame([], "node long, component long").union(stars).union(stars.select("lo", "lo").distinct())

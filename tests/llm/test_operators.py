@@ -77,6 +77,25 @@ def test_components(spark):
         assert {r.node: r.component for r in got} == {x: want[x] for a, b in edges if a != b for x in (a, b)}
 
 
+def test_components_over_several_tasks(spark):
+    """Edges of one node in several tasks, which contract them apart: one row per node, and the smallest id for all."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    rng = random.Random(12)
+    cases = [[(10, 5), (10, 1), (5, 2)], [(i, j) for i in range(6) for j in range(i)], [(rng.randrange(60), rng.randrange(60)) for _ in range(70)]]
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in (3, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            for edges in cases:
+                apart = spark.createDataFrame(spark.sparkContext.parallelize(edges, min(8, len(edges))), "a long, b long")
+                want = groups(range(60), edges)
+                got = components(apart, "a", "b").collect()
+                assert sorted(map(tuple, got)) == sorted((x, want[x]) for x in {x for a, b in edges if a != b for x in (a, b)})
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_remove_repeats(spark):
     rows = corpus(4)
     k = 5
