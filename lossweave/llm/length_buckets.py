@@ -11,13 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lossweave.llm import textkernels as K
 from lossweave.llm.staging import stage
 
-#: Buckets, tokens of a batch with its padding, and entries of the histogram that the driver may hold.
-BUCKETS, BUDGET, ENTRIES = 16, 65_536, 65_536
+#: Buckets, and tokens of a batch with its padding.
+BUCKETS, BUDGET = 16, 65_536
 
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
@@ -72,10 +72,6 @@ def word_lengths(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(_lengths, "doc long, n long")
 
 
-def _rounded(n: Column, grain: int) -> Column:
-    return n if grain == 1 else F.ceil(n / grain).cast("long") * grain
-
-
 def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """(doc, n, bucket, bound, batch, slot, padding) for each row of (doc, n).
 
@@ -85,19 +81,16 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
     is a batch of its own.  Documents without tokens go to the first bucket.
     Repeated rows each take a slot.  An empty table gives no rows.
 
-    The driver holds the histogram: one entry for each distinct length, rounded
-    up to a power of two's multiples where that would be more than ``ENTRIES``.
+    The driver holds the histogram, one entry for each distinct length.  d of
+    them need texts of d * (d - 1) / 2 words together, so there are at most about
+    sqrt(2 * words), 100,000 for 5e9 words, whatever the longest text.
     """
     spark = lengths.sparkSession
     lens = stage(lengths.select("doc", F.coalesce("n", F.lit(0)).cast("long").alias("n")), "lengths")
-    most = lens.agg(F.max("n")).first()[0] or 0
-    grain = 1
-    while most // grain >= ENTRIES:
-        grain *= 2
-    rows = lens.groupBy(_rounded(F.col("n"), grain).alias("n")).count().orderBy("n").collect()
-    bounds = boundaries([r["n"] for r in rows], [r["count"] for r in rows], buckets)
+    rows = lens.groupBy("n").count().orderBy("n").toArrow()
+    bounds = boundaries(rows["n"].to_pylist(), rows["count"].to_pylist(), buckets)
     table = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
-    bucket = F.size(F.filter(table, lambda b: b < _rounded(F.col("n"), grain)))
+    bucket = F.size(F.filter(table, lambda b: b < F.col("n")))
     placed = lens.withColumn("bucket", bucket.cast("int")).withColumn("bound", F.element_at(table, F.col("bucket") + 1))
     # Ranks without one task per bucket: a range sort, then each task's rows shifted by what stands before them.
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

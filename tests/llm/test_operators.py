@@ -286,6 +286,16 @@ def test_length_buckets(spark):
         assert sorted(m.slot for m in members) == list(range(len(members))) and (len(members) == room or (batch == last[bucket] and len(members) < room))
 
 
+def test_one_very_long_document_leaves_the_bounds_exact(spark):
+    """A length far above the others changes neither their bounds nor their padding; the least padding is found by brute force."""
+    lengths = [1, 3, 3, 3, 17, 17, 18, 40, 41, 1_000_001]
+    cost = lambda bounds: sum(min(b for b in bounds if b >= n) - n for n in lengths)
+    least = min(cost([*some, 1_000_001]) for some in itertools.combinations(sorted({*lengths} - {1_000_001}), 3))
+    got = length_buckets.pack(spark.createDataFrame(list(enumerate(lengths)), "doc long, n long"), buckets=4).collect()
+    assert sum(r.padding for r in got) == least and {r.bound for r in got} <= {*lengths}
+    assert max(r.bound for r in got) == 1_000_001 and {r.n: r.padding for r in got}[1_000_001] == 0
+
+
 def test_packing_round_trip(spark):
     rows = [*corpus(11), (None, "ohne Nummer"), (90, "日本語 " * 3000)]
     got = best_fit_pack.pack(table(spark, rows), row=64, gather=2000).collect()
