@@ -6,7 +6,8 @@ tokens.  In several independent trees, classes branch into nodes by the tokens
 at coordinates that the node's own path chooses (1 / similarity branches on
 average, so two similar classes keep meeting); a node that is small enough is
 compared exhaustively, a larger one branches again.  Nodes that stay large down
-to the last level are compared exhaustively too, in pairs of blocks.
+to the last level are compared exhaustively too, in pairs of blocks.  The deeper
+nodes lie, the more trees the classes of large nodes get.
 
 Candidates are confirmed on full shingle sets.  First each class is confirmed
 against its most similar partner in the node.  Where these links leave
@@ -17,6 +18,7 @@ the node, which compares them all and sends a forest of the links it finds.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,10 @@ from lossweave.llm import textkernels as K
 from lossweave.llm.graph import components, forest
 from lossweave.llm.staging import drop, stage
 
-#: Minwise tokens of a class, independent trees, largest node that is compared as one, and levels.
+#: Minwise tokens of a class, least independent trees, largest node that is compared as one, and levels.
 TOKENS, TREES, NODE, LEVELS = 64, 16, 2048, 12
+#: Probability with which a pair of just the similarity asked for meets in a node of some tree, at any depth.
+RECALL = 0.999
 #: Agreeing tokens from which a pair is confirmed: 4.5 standard deviations below the threshold's mean.
 SLACK = 4.5
 
@@ -81,14 +85,36 @@ def _children(path: np.ndarray, sig: np.ndarray, similarity: float) -> tuple[np.
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
-def _roots(similarity: float, trees: int):
+def _least(similarity: float) -> int:
+    return int(np.floor(TOKENS * similarity - SLACK * np.sqrt(TOKENS * similarity * (1 - similarity))))
+
+
+def trees_for(depth: int, similarity: float, trees: int = TREES) -> int:
+    """Trees, ``trees`` at least, in which a pair of this similarity meets ``depth`` branchings down with probability RECALL.
+
+    A pair agrees in a binomial number of its tokens; given that, a tree is a
+    branching process that dies out at a known rate.
+    """
+    twice, apart = min(1.0, 1 / similarity - 1), []
+    for k in range(max(1, _least(similarity)), TOKENS + 1):
+        gone = 0.0
+        for _ in range(depth):
+            y = 1 - k / TOKENS * (1 - gone)
+            gone = y * (1 - twice + twice * y)
+        apart.append((comb(TOKENS, k) * similarity**k * (1 - similarity) ** (TOKENS - k), gone))
+    while sum(w * gone**trees for w, gone in apart) > 1 - RECALL:
+        trees += 1
+    return trees
+
+
+def _roots(similarity: float, trees: range):
     def run(batches):
         for batch in batches:
             sig = _matrix(batch.column(1))
             if not len(sig):
                 continue
             rep = batch.column(0).to_numpy()
-            for tree in range(trees):
+            for tree in trees:
                 of, path = _children(np.full(len(sig), K.mix(np.array([tree], np.uint64), 25)[0]), sig, similarity)
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(rep[of])], ["path", "rep"])
 
@@ -128,8 +154,7 @@ def _pairs(similarity: int, whole: bool):
     whole: instead, the rows that have a candidate in another component, as (path, rep, n, comp).  Their path
     is a hash of the node's rows so marked: nodes of several trees that mark the same rows are one.
     """
-    p = similarity / 100
-    least = int(np.floor(TOKENS * p - SLACK * np.sqrt(TOKENS * p * (1 - p))))
+    least = _least(similarity / 100)
 
     def of(path, block, rep, n, sig, comp, mark):
         new = np.ones(len(path), bool)
@@ -302,26 +327,32 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", sh
     signed = stage(d.mapInArrow(signer(shingle), _SIGNED), "signed")
     classes = stage(signed.where("n > 0 and doc is not null").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
     p = similarity / 100
-    # Light rows first: most paths hold one class and go before tokens are attached.
-    light = stage(classes.select("rep", "sig").mapInArrow(_roots(p, trees), "path long, rep long").distinct(), "paths")
-    sizes = light.groupBy("path").count().where("count > 1")
-    rows = light.join(sizes, "path").join(classes.select("rep", "n", "sig"), "rep").select("path", "rep", "n", "sig", F.col("count").alias("size"))
-    parts = []
-    for level in range(levels):
-        rows = stage(rows, "nodes")
-        parts.append(rows.where(F.col("size") <= node).select("path", F.lit(0).alias("block"), "rep", "n", "sig"))
-        large = rows.where(F.col("size") > node).select("path", "rep", "n", "sig")
-        if large.isEmpty():
-            break
-        if level == levels - 1:  # still large: all pairs of blocks of about half a node
-            blocks = F.ceil(F.col("size") / (node // 2)).cast("int")
-            cut = rows.where(F.col("size") > node).withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-            cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            lo, hi = F.least("own", "other"), F.greatest("own", "other")
-            parts.append(cut.select(F.xxhash64("path", lo, hi).alias("path"), F.when(lo == hi, 0).when(F.col("own") == lo, 1).otherwise(2).alias("block"), "rep", "n", "sig"))
-            break
-        child = stage(large.mapInArrow(_branches(p), "path long, rep long, n long, sig binary").dropDuplicates(["path", "rep"]), "children")
-        rows = child.join(child.groupBy("path").count().where("count > 1"), "path").select("path", "rep", "n", "sig", F.col("count").alias("size"))
+    parts, some, heavy, done, want = [], classes, None, 0, trees_for(1, p, trees)
+    while done < want:
+        # Light rows first: most paths hold one class and go before tokens are attached.
+        light = stage(some.select("rep", "sig").mapInArrow(_roots(p, range(done, want)), "path long, rep long").distinct(), "paths")
+        sizes = light.groupBy("path").count().where("count > 1")
+        rows = light.join(sizes, "path").join(some.select("rep", "n", "sig"), "rep").select("path", "rep", "n", "sig", F.col("count").alias("size"))
+        for level in range(levels):
+            rows = stage(rows, "nodes")
+            parts.append(rows.where(F.col("size") <= node).select("path", F.lit(0).alias("block"), "rep", "n", "sig"))
+            large = rows.where(F.col("size") > node).select("path", "rep", "n", "sig")
+            if large.isEmpty():
+                break
+            if done == 0 and level == 0:
+                heavy = large
+            if level == levels - 1:  # still large: all pairs of blocks of about half a node
+                blocks = F.ceil(F.col("size") / (node // 2)).cast("int")
+                cut = rows.where(F.col("size") > node).withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+                cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+                lo, hi = F.least("own", "other"), F.greatest("own", "other")
+                parts.append(cut.select(F.xxhash64("path", lo, hi).alias("path"), F.when(lo == hi, 0).when(F.col("own") == lo, 1).otherwise(2).alias("block"), "rep", "n", "sig"))
+                break
+            child = stage(large.mapInArrow(_branches(p), "path long, rep long, n long, sig binary").dropDuplicates(["path", "rep"]), "children")
+            rows = child.join(child.groupBy("path").count().where("count > 1"), "path").select("path", "rep", "n", "sig", F.col("count").alias("size"))
+        done, want = want, trees_for(level + 1, p, want)
+        if done < want and some is classes:  # only classes of nodes that branched can have parted this deep
+            some = stage(classes.join(heavy.select("rep").distinct(), "rep", "left_semi"), "heavy")
     nodes = parts[0]
     for part in parts[1:]:
         nodes = nodes.union(part)

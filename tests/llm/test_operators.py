@@ -68,6 +68,28 @@ def test_near_duplicates(spark, seed, node):
     assert {r.doc_id for r in kept.collect()} == {i for i in sets if want[i] == i} and kept.columns == SCHEMA.replace(" string", "").replace(" long", "").split(", ")
 
 
+def test_trees_follow_the_depth(spark, monkeypatch):
+    """Simulated pairs of similarity 0.8 meet twelve branchings down in all but a few of a thousand; deep nodes get these trees."""
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**32, (4000, minhash_paths.TOKENS), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 2**32, a.shape, dtype=np.uint32))
+    met, need = np.zeros(len(a), bool), minhash_paths.trees_for(12, 0.8)
+    for tree in range(need):
+        at, path = np.arange(len(a)), minhash_paths.K.mix(np.full(len(a), tree, np.uint64), 25)
+        for _ in range(12):
+            (of, x), (_, y) = (minhash_paths._children(path, s[at], 0.8) for s in (a, b))
+            at, path = at[of][x == y], x[x == y]
+        met[at] = True
+        if tree == minhash_paths.TREES - 1:
+            assert met.mean() < 0.985
+    assert met.mean() > 0.997
+    used, roots = [], minhash_paths._roots
+    monkeypatch.setattr(minhash_paths, "_roots", lambda p, trees: used.append(trees) or roots(p, trees))
+    rows = [(i, " ".join([*map(str, range(300)), f"own{i}"])) for i in range(12)]
+    got = minhash_paths.near_duplicates(table(spark, rows), node=4, levels=12).collect()
+    assert {r.component_id for r in got} == {0} and max(x for r in used for x in r) + 1 == minhash_paths.trees_for(12, 0.8) > 16
+
+
 def test_components(spark):
     rng = random.Random(2)
     for n, m in ((30, 20), (200, 199), (50, 0)):
