@@ -26,6 +26,8 @@ CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "
 NO_P_INSIDE = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul", "p"}
 SCOPES = {"table", "ul", "ol", "dl", "article", "section", "div", "main", "body", "html", "td", "th", "blockquote"}
 MARKED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adslot|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|paywall|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|taboola|toolbar|widget)(?:$|[\s_-])", re.I)
+# Names that say what a part has or allows, not what it is: has-sidebar, no-sidebar, comments-open.
+STATE = re.compile(r"(?<!\S)(?:(?:has|no|with)-\S+|\S+-(?:open|closed))(?!\S)", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "dialog", "alert"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PUNCTUATION = re.compile(r"[.,;:!?…、。，？！]")
@@ -48,7 +50,7 @@ def _not_content(name: str, attrs: str) -> bool:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and MARKED.search(value):
+        if key in ("class", "id") and name not in ("html", "body", "article", "main") and MARKED.search(STATE.sub(" ", value)):
             return True
         if key == "role" and value.lower() in ROLES:
             return True
@@ -163,7 +165,7 @@ def content(page: str | None) -> str:
     fused = [x / top_a * (1 + y / top_b) / 2 for x, y in zip(a, b, strict=True)]
     need = THRESHOLD * sum(fused) / len(fused)
     main = [p for p in paths if "article" in p or "main" in p]
-    chosen = {p for p, f in zip(paths, fused, strict=True) if f >= need and order[p][2] <= order[p][0] / 2 and (not main or p in main)}
+    chosen = {p for p, f in zip(paths, fused, strict=True) if f >= need and (p in main or not main and order[p][2] <= order[p][0] / 2)}
     if not chosen:
         chosen = {max(paths, key=lambda p: (p in main, fused[paths.index(p)]))}
     # Headings, lists and tables beneath the nearest container of a chosen path belong to it.
@@ -171,7 +173,7 @@ def content(page: str | None) -> str:
     within |= {p[: p.index(t) + 1] for p in chosen for t in ("article", "main") if t in p}
 
     def beneath(p):
-        return any(p[: len(w)] == w for w in within if w) and order[p][2] <= order[p][0] / 2
+        return any(p[: len(w)] == w for w in within if w) and (p in main or order[p][2] <= order[p][0] / 2)
 
     return "\n".join(text for path, text, _ in found if path in chosen or beneath(path))
 

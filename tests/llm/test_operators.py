@@ -290,6 +290,14 @@ def test_html(spark):
     assert [r.text for r in got if r.page_id in (2, 3)] == ["", ""]
 
 
+def test_html_keeps_links_of_an_article_and_parts_with_state_classes():
+    page = '<body class="x"><div class="container has-sidebar"><article><p>Some text, here.</p><ul><li><a href="/r">Reference, one</a></li></ul></article><div class="sidebar">Buy</div></div></body>'
+    assert html_extract.content(page) == "Some text, here.\nReference, one"
+    for name in ("no-sidebar", "post comments-open", "comments-closed", "with-menu"):
+        assert html_extract.content(f'<div class="{name}"><p>Some text, here.</p></div>') == "Some text, here."
+    assert html_extract.content('<p>Text, here.</p><div class="comments has-replies">No</div>') == "Text, here."
+
+
 def test_length_buckets(spark):
     rows = corpus(10)
     n = Counter((i, len(WORD.findall(t or ""))) for i, t in rows)
