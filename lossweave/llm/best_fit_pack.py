@@ -87,7 +87,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 
 def rank_file_ids(path: str, pattern: str = PIECES):
-    """Encoder over a byte-level rank file ('token-in-base64 rank' lines, at most 65,536 tokens).
+    """Encoder over a byte-level rank file ('token-in-base64 rank' lines): uint16, or uint32 if a rank is above 65,535.
 
     The driver reads the file, a few hundred kilobytes, and sends it with the
     task; each Python worker builds its tables once.  Such ids lose nothing:
@@ -102,8 +102,9 @@ def rank_file_ids(path: str, pattern: str = PIECES):
             import tiktoken
 
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
+            held.append(np.uint16 if max(ranks.values()) < 1 << 16 else np.uint32)
             held.append(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
-        return [held[0].encode_to_numpy(t, disallowed_special=()).astype(np.uint16) for t in texts]
+        return [held[1].encode_to_numpy(t, disallowed_special=()).astype(held[0]) for t in texts]
 
     return encode
 
@@ -130,7 +131,7 @@ def _pack(encode, row: int, gather: int):
             length = np.minimum(row, begin[owner] + size[owner] - start)
             out = [[] for _ in range(7)]
             for members in best_fit_decreasing(length, row):
-                packed, place, cu = np.zeros(row, np.uint16), np.zeros(row, np.uint16), [0]
+                packed, place, cu = np.zeros(row, ids.dtype), np.zeros(row, np.uint16), [0]
                 for x in members:
                     a, n = cu[-1], int(length[x])
                     packed[a : a + n] = ids[start[x] : start[x] + n]
@@ -167,7 +168,7 @@ def _pack(encode, row: int, gather: int):
 
 
 def pack(docs: DataFrame, doc: str = "doc_id", text: str = "text", row: int = ROW, gather: int = GATHER, encode=byte_ids) -> DataFrame:
-    """One row per packed sequence: ids and positions (little-endian uint16, ``row`` each, zeros after n_tokens),
+    """One row per packed sequence: ids and positions (``row`` each, zeros after n_tokens; little-endian uint16, ids in the encoder's type),
     cumulative segment lengths, and for each segment its document and the piece's number in it.
 
     Null and empty texts have no tokens and appear in no row.  Repeated rows and

@@ -362,6 +362,17 @@ def test_packing_with_a_vocabulary(spark):
     assert {i: b"".join(x for _, x in sorted(whole[i])).decode() for i, t in rows if t} == {i: t for i, t in rows if t}
 
 
+def test_packing_with_ranks_above_16_bits(spark, tmp_path):
+    import base64
+
+    file = tmp_path / "large.tiktoken"
+    file.write_bytes(b"".join(base64.b64encode(bytes([b])) + b" %d\n" % (b + 70_000) for b in range(256)))
+    text = "The fox's tail, 日本語 x"
+    r = best_fit_pack.pack(table(spark, [(1, text)]), row=64, encode=best_fit_pack.rank_file_ids(str(file))).first()
+    ids = np.frombuffer(r.ids, np.uint32)
+    assert len(ids) == 64 and bytes((ids[: r.n_tokens] - 70_000).tolist()) == text.encode()
+
+
 def test_empty_tables(spark):
     d, b = table(spark, []), spark.createDataFrame([], "item_id long, text string")
     v = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
