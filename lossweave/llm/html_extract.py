@@ -1,11 +1,16 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into blocks of text, each with its path of tags from the root.
-Per path, text length and punctuation are summed over the page; both ratios are
-smoothed over neighbouring paths in page order, fused into one value and
-thresholded.  Blocks of the chosen paths are the content, with the headings,
-lists and tables that stand among them.  Parts that HTML itself names as not
-content (navigation, footers, forms, scripts, adverts, comments, ...) never count.
+A page is cut into blocks of text, each with its path of tags and classes from
+the root.  Per path, text length and punctuation are averaged over its blocks.
+Both ratios are smoothed with those of the paths around it (beneath the same
+container, weighted by length), fused with the container's share of the page's
+text, and thresholded: the blocks of the paths that reach the threshold are the
+content.  Parts that HTML itself, a class, an id or a role names as not content
+(navigation, footers, forms, adverts, comments, ...) are fused with a small
+weight, so that they count only where nothing else is prose.  Only what a
+browser does not show as text (scripts, styles, hidden parts) never counts.
+
+All steps are linear in the page, however deep it nests.
 """
 
 from __future__ import annotations
@@ -25,67 +30,109 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NO_P_INSIDE = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul", "p"}
 SCOPES = {"table", "ul", "ol", "dl", "article", "section", "div", "main", "body", "html", "td", "th", "blockquote"}
+# Tags that shape text rather than contain parts of a page.
+TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th"}
+ARTICLE = {"article", "main"}
 MARKED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adslot|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|paywall|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|taboola|toolbar|widget)(?:$|[\s_-])", re.I)
 # Names that say what a part has or allows, not what it is: has-sidebar, no-sidebar, comments-open.
 STATE = re.compile(r"(?<!\S)(?:(?:has|no|with)-\S+|\S+-(?:open|closed))(?!\S)", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "dialog", "alert"}
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PUNCTUATION = re.compile(r"[.,;:!?…、。，？！]")
 
+# A quote opens a value only after "=", and only if what follows its end can follow a value;
+# an unclosed one therefore ends with its tag instead of swallowing the text behind it.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"'=]++|=\s*+(?:\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>])|[^\s\"'>][^\s>]*+)?+|[\"'])*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?=[\s/]|\Z))", re.I)
 
-#: Neighbouring paths on each side that smooth a path's ratios, and the share of the page's mean fused ratio to reach.
-RADIUS, THRESHOLD = 1, 0.5
+#: Share of the page's best fused value that a path must reach.
+THRESHOLD = 0.2
+#: Length and punctuation of a block at which the ratios are half of prose, and the weight of a block without punctuation.
+HALF_LENGTH, HALF_MARKS, BARE = 100, 1, 0.25
+#: Weight of each part named as not content, and length times punctuation from which such a part alone can be the content.
+PART, PROSE = 1e-3, 5000
 
 
-def _not_content(name: str, attrs: str) -> bool:
-    if name in ASIDE:
-        return True
-    if not attrs:
-        return False
-    for m in _ATTR.finditer(attrs):
+def _attributes(attrs: str) -> tuple[str, str, bool]:
+    """(class, words of class, id and role that may mark the part, hidden)."""
+    kind, words, hidden = "", [], False
+    for m in _ATTR.finditer(attrs) if attrs else ():
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and MARKED.search(STATE.sub(" ", value)):
-            return True
-        if key == "role" and value.lower() in ROLES:
-            return True
-    return False
-
-
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
-    """(path of tags, text, characters inside links) of each block that may be content, in page order."""
-    stack: list[tuple[str, bool]] = []  # (tag, whether it opens a part that is not content)
-    barred, links, linked, at, end = 0, 0, 0, 0, len(page)
+            hidden = True
+        elif key == "role":
+            words.append(("role", value))
+        elif key in ("class", "id"):
+            words.append(("name", value))
+            if key == "class":
+                kind = " ".join(sorted(value.split()))
+    return kind, words, hidden
+
+
+def _not_content(name: str, words: list, in_article: bool) -> bool:
+    if name in ASIDE and not (name == "header" and in_article):  # an article's own header holds its title
+        return True
+    return any(value.lower() in ROLES if key == "role" else name not in ("html", "body", "article", "main") and MARKED.search(STATE.sub(" ", value)) for key, value in words)
+
+
+class _Paths:
+    """The tree of distinct paths: for each, its container and how many parts named as not content it lies in."""
+
+    def __init__(self):
+        self.child: dict[tuple[int, str, str, bool], int] = {}
+        self.group, self.parts, self.article = [0], [0], [False]
+
+    def below(self, at: int, name: str, kind: str, part: bool) -> int:
+        key = (at, name, kind, part)
+        if key not in self.child:
+            self.child[key] = new = len(self.group)
+            inside = self.article[at] and not part
+            joins = inside or name in TEXT and not part
+            self.group.append(self.group[at] if joins else new)
+            self.parts.append(self.parts[at] + part)
+            self.article.append(inside or name in ARTICLE and not part)
+        return self.child[key]
+
+
+def blocks(page: str) -> tuple[_Paths, list[tuple[int, str, int]]]:
+    """The page's paths, and (path, text, characters inside links) of each block in page order."""
+    paths = _Paths()
+    stack: list[tuple[str, bool, int]] = []  # (tag, whether hidden, path)
+    open_at: dict[str, list[int]] = {}  # places of each tag in the stack
+    hidden, links, linked, at, end = 0, 0, 0, 0, len(page)
     held: list[str] = []
-    path: tuple[str, ...] = ()
+    path = 0
+    out: list[tuple[int, str, int]] = []
 
     def flush():
-        nonlocal held, linked
+        nonlocal linked
         text = " ".join("".join(held).split())
-        out = (path, text, linked) if text else None
-        held, linked = [], 0
-        return out
+        if text:
+            out.append((path, text, linked))
+        held.clear()
+        linked = 0
+
+    def last(names) -> int:
+        return max((open_at[n][-1] for n in names if open_at.get(n)), default=-1)
 
     def pop(to: int):
-        nonlocal barred, links
+        nonlocal hidden, links
         while len(stack) > to:
-            name, bar = stack.pop()
-            barred -= bar
+            name, bar, _ = stack.pop()
+            open_at[name].pop()
+            hidden -= bar
             links -= name == "a"
 
     while at < end:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else end
-        if stop > at and not barred:
+        if stop > at and not hidden:
             text = html.unescape(page[at:stop])
             if not held and text.strip():
-                path = tuple(t for t, _ in stack if t not in INLINE)
-            held.append(text)
+                path = stack[-1][2] if stack else 0
+            if held or text.strip():
+                held.append(text)
             if links:
                 linked += len(text.strip())
         if not m:
@@ -96,86 +143,81 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
             continue
         name = name.lower()
         if m["end"]:
-            if name not in INLINE and (out := flush()):
-                yield out
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
-                if stack[i][0] in ("table", "body") and name not in ("body", "html"):
-                    break
+            i = last((name,))
+            if name not in INLINE or i >= 0 and stack[i][2] != (stack[i - 1][2] if i else 0):
+                flush()
+            if i >= 0 and (name in ("body", "html") or i >= last(("table", "body"))):
+                pop(i)
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
         if name == "br" or name == "wbr":
-            held.append(" " if name == "br" else "")
+            if held:
+                held.append(" " if name == "br" else "")
             continue
         if name not in INLINE:
-            if out := flush():
-                yield out
-            if name in CLOSED_BY:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in CLOSED_BY[name]:
-                        pop(i)
-                        break
-                    if stack[i][0] in SCOPES:
-                        break
-            if name in NO_P_INSIDE:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        pop(i)
-                        break
-                    if stack[i][0] in SCOPES:
-                        break
+            flush()
+            scope = last(SCOPES)
+            if name in CLOSED_BY and (i := last(CLOSED_BY[name])) >= 0 and i >= scope:
+                pop(i)
+                scope = last(SCOPES)
+            if name in NO_P_INSIDE and (i := last(("p",))) >= 0 and i > scope:
+                pop(i)
         if name in VOID or m["attrs"].endswith("/") and name in INLINE:
             continue
-        bar = _not_content(name, m["attrs"])
-        stack.append((name, bar))
-        barred += bar
+        above = stack[-1][2] if stack else 0
+        kind, words, bar = _attributes(m["attrs"])
+        part = _not_content(name, words, paths.article[above])
+        if part and name in INLINE:
+            flush()
+        stack.append((name, bar, paths.below(above, name, kind, part) if part or name not in INLINE else above))
+        open_at.setdefault(name, []).append(len(stack) - 1)
+        hidden += bar
         links += name == "a"
-    if out := flush():
-        yield out
+    flush()
+    return paths, out
 
 
-def content(page: str | None) -> str:
-    """Main text: the chosen blocks, one to a line; empty for null or where no block may be content."""
+def content(page: str | None, threshold: float = THRESHOLD, part: float = PART) -> str:
+    """Main text: the chosen blocks, one to a line; empty for null or where no block is content.
+
+    ``threshold`` 0 keeps all blocks; ``part`` 1 leaves the choice to the ratios alone.
+    """
     if not page:
         return ""
-    found = list(blocks(page))
-    if not found:
+    paths, found = blocks(page)
+    total: dict[int, list[float]] = {}  # path: characters, punctuation, characters in links, blocks
+    for p, text, linked in found:
+        t = total.setdefault(p, [0, 0, 0, 0])
+        t[0] += len(text)
+        t[1] += len(PUNCTUATION.findall(text))
+        t[2] += min(linked, len(text))
+        t[3] += 1
+    # Outside an article, what is mostly links does not belong to the text around it.
+    group = {p: -1 - p if t[2] > t[0] / 2 and not paths.article[p] else paths.group[p] for p, t in total.items()}
+    length = {p: (t[0] - t[2]) / t[3] for p, t in total.items()}
+    marks = {p: t[1] / t[3] for p, t in total.items()}
+    long = {p: x / (x + HALF_LENGTH) for p, x in length.items()}
+    dotted = {p: x / (x + HALF_MARKS) for p, x in marks.items()}
+    around: dict[int, list[float]] = {}  # container: characters, and both ratios weighted by them
+    for p, t in total.items():
+        g = around.setdefault(group[p], [0, 0.0, 0.0])
+        g[0] += t[0]
+        g[1] += t[0] * long[p]
+        g[2] += t[0] * dotted[p]
+    weight = {p: part ** paths.parts[p] for p in total}
+    most = max((around[group[p]][0] * weight[p] for p in total), default=1)
+    fused = {}
+    for p in total:
+        mass, a, b = around[group[p]]
+        a, b = (long[p] + a / mass) / 2, (dotted[p] + b / mass) / 2
+        fused[p] = weight[p] * a * (BARE + (1 - BARE) * b) * (min(1.0, mass / most)) ** 0.5
+    best = max(fused, key=lambda p: (fused[p], -p), default=None)
+    if best is None or weight[best] < 1 and threshold > 0 and length[best] * (1 + marks[best]) < PROSE:
         return ""
-    order: dict[tuple[str, ...], list[float]] = {}
-    for path, text, linked in found:
-        s = order.setdefault(path, [0, 0, 0, 0])
-        s[0] += len(text)
-        s[1] += len(PUNCTUATION.findall(text))
-        s[2] += linked
-        s[3] += 1
-    paths = list(order)
-    size = [order[p][0] / order[p][3] * (1 - min(1, order[p][2] / order[p][0])) for p in paths]
-    marks = [order[p][1] / order[p][3] for p in paths]
-
-    def smooth(x):
-        return [sum(x[max(0, i - RADIUS) : i + RADIUS + 1]) / len(x[max(0, i - RADIUS) : i + RADIUS + 1]) for i in range(len(x))]
-
-    a, b = smooth(size), smooth(marks)
-    top_a, top_b = max(a) or 1, max(b) or 1
-    fused = [x / top_a * (1 + y / top_b) / 2 for x, y in zip(a, b, strict=True)]
-    need = THRESHOLD * sum(fused) / len(fused)
-    main = [p for p in paths if "article" in p or "main" in p]
-    chosen = {p for p, f in zip(paths, fused, strict=True) if f >= need and (p in main or not main and order[p][2] <= order[p][0] / 2)}
-    if not chosen:
-        chosen = {max(paths, key=lambda p: (p in main, fused[paths.index(p)]))}
-    # Headings, lists and tables beneath the nearest container of a chosen path belong to it.
-    within = {p[: max([i + 1 for i, t in enumerate(p) if t in ("article", "main", "section", "div", "body", "td")], default=0)] for p in chosen}
-    within |= {p[: p.index(t) + 1] for p in chosen for t in ("article", "main") if t in p}
-
-    def beneath(p):
-        return any(p[: len(w)] == w for w in within if w) and (p in main or order[p][2] <= order[p][0] / 2)
-
-    return "\n".join(text for path, text, _ in found if path in chosen or beneath(path))
+    return "\n".join(text for p, text, _ in found if fused[p] >= threshold * fused[best])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
