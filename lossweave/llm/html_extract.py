@@ -45,6 +45,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"'=]++|=\s*+(?:\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>])|[^\s\"'>][^\s>]*+)?+|[\"'])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?=[\s/]|\Z))", re.I)
+_EMPTY = re.compile(r"(?:^|[\s\"'])/\Z")
 
 #: Share of the page's best fused value that a path must reach.
 THRESHOLD = 0.2
@@ -165,7 +166,7 @@ def blocks(page: str) -> tuple[_Paths, list[tuple[int, str, int]]]:
                 scope = last(SCOPES)
             if name in NO_P_INSIDE and (i := last(("p",))) >= 0 and i > scope:
                 pop(i)
-        if name in VOID or m["attrs"].endswith("/") and name in INLINE:
+        if name in VOID or name in INLINE and _EMPTY.search(m["attrs"]):
             continue
         above = stack[-1][2] if stack else 0
         kind, words, bar = _attributes(m["attrs"])
