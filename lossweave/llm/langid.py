@@ -50,14 +50,17 @@ def held_out(doc: Column) -> Column:
 
 
 def _grams(data: np.ndarray, off: np.ndarray):
-    """Word starts in the letters' own order, n-gram indices of each letter byte, words per document, script of each word."""
+    """Word starts in the letters' own order, n-gram indices of each letter byte, words per document, script of each word.
+
+    A space is put behind each document, so that none sees its neighbour's letters.
+    """
+    data, off = np.insert(data, off[1:], 32), off + np.arange(len(off))
     starts, ends, first = K.words(data, off, _GAP)
     gap = _GAP[data]
     clean = np.where(gap, np.uint8(32), data).astype(np.uint64)
     pad = np.full(len(clean) + 3, 32, np.uint64)
     pad[1:-2] = clean
     at = np.flatnonzero(~gap)
-    # Two documents may touch without white space; their letters then see each other, which costs one n-gram.
     a, b, c, d = pad[at], pad[at + 1], pad[at + 2], pad[at + 3]
     d = np.where(c == 32, np.uint64(32), d)
     three = (a << np.uint64(16)) | (b << np.uint64(8)) | c
@@ -168,7 +171,25 @@ def _scores(m: dict, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.
     return score + m["own"][script], counts, size
 
 
-def _predict(model, switch: float):
+def _runs(label: np.ndarray, counts: np.ndarray, names: np.ndarray) -> list[list[dict]]:
+    """Per document, its runs of words with one label."""
+    first = np.cumsum(counts) - counts
+    new = np.ones(len(label), bool)
+    new[1:] = label[1:] != label[:-1]
+    new[first[counts > 0]] = True
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(label)))
+    owner = np.repeat(np.arange(len(counts)), counts)[at]
+    out: list[list[dict]] = [[] for _ in counts]
+    for d, a, n, k in zip(owner.tolist(), (at - first[owner]).tolist(), size.tolist(), label[at].tolist(), strict=True):
+        out[d].append({"start": a, "n": n, "lang": names[k]})
+    return out
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64()), ("lang", pa.string())]))
+
+
+def _predict(model, switch: float, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         names = np.array(m["languages"], object)
@@ -177,6 +198,7 @@ def _predict(model, switch: float):
             letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             lang = np.full(batch.num_rows, "und", object)
             share = np.zeros(batch.num_rows)
+            parts_of: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for i, j in K.slices(off, SLICE):
                 if not len(names):
                     continue
@@ -190,26 +212,41 @@ def _predict(model, switch: float):
                 some = letters[i:j] & (counts > 0)
                 lang[i:j][some] = names[mass.argmax(1)[some]]
                 share[i:j][some] = (mass.max(1) / np.maximum(1, mass.sum(1)))[some]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(share)], ["doc", "lang_pred", "score"])
+                if spans:
+                    for d, x in enumerate(_runs(label, counts, names)):
+                        parts_of[i + d] = x if some[d] else []
+            columns = [batch.column(0), pa.array(lang, pa.string()), pa.array(share), *([pa.array(parts_of, _SPANS)] if spans else [])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "lang_pred", "score", "spans"][: len(columns)])
 
     return run
 
 
-def identify(docs: DataFrame, model: dict, doc: str = "doc_id", text: str = "text", switch: float = SWITCH) -> DataFrame:
+def identify(docs: DataFrame, model: dict, doc: str = "doc_id", text: str = "text", switch: float = SWITCH, spans: bool = False) -> DataFrame:
     """(doc, lang_pred, score) per document row; score is the label's share of the letters, in bytes.
 
-    ``und`` with score 0 for a null text, one without a letter, or a model
-    without languages.  Repeated rows each get a row; other columns are ignored.
+    ``spans`` adds the runs of words of one language as (start, n, lang), in
+    words of letters.  ``und`` with score 0 and no spans for a null text, one
+    without a letter, or a model without languages.  A document's result depends
+    on its own text only.  Repeated rows each get a row; other columns are
+    ignored.  Empty tables give no rows.
     """
     d = docs.select(F.col(doc).alias("doc"), F.lower(text).alias("t"), F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)).alias("letters"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[doc].dataType.simpleString()
-    return d.mapInArrow(_predict(shared, switch), f"doc {kind}, lang_pred string, score double").withColumnRenamed("doc", doc)
+    more = ", spans array<struct<start: long, n: long, lang: string>>" if spans else ""
+    return d.mapInArrow(_predict(shared, switch, spans), f"doc {kind}, lang_pred string, score double{more}").withColumnRenamed("doc", doc)
+
+
+def label(docs: DataFrame, model: dict, text: str = "text", switch: float = SWITCH, lang: str = "_lang", score: str = "_lang_score") -> DataFrame:
+    """docs with ``lang`` and ``score`` at the end; columns of docs of these names give way."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = identify(docs.select(row.alias("row"), F.col(f"`{text}`").alias("text")), model, "row", "text", switch)
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in (lang, score)]
+    return out.select(*kept, F.col("lang_pred").alias(lang), F.col("score").alias(score))
 
 
-def label(docs: DataFrame, model: dict, text: str = "text", switch: float = SWITCH) -> DataFrame:
-    """docs with all their columns, and ``_lang`` and ``_lang_score`` for filters."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("text"))
-    out = identify(packed, model, "row", "text", switch)
-    return out.select("row.*", F.col("lang_pred").alias("_lang"), F.col("score").alias("_lang_score"))
+def prevailing(docs: DataFrame, model: dict, share: float, text: str = "text", switch: float = SWITCH) -> DataFrame:
+    """docs, all columns as they are, whose language is known and covers at least ``share`` of the letters."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = identify(docs.select(row.alias("row"), F.col(f"`{text}`").alias("text")), model, "row", "text", switch)
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= share)).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

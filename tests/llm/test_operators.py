@@ -271,6 +271,30 @@ def test_language(spark):
     none = langid.identify(mixed, langid.fit(d.where("lang = 'zz'"))).first()
     assert (none.lang_pred, none.score) == ("und", 0.0)
     assert langid.label(d, langid.fit(d)).columns == ["doc_id", "text", "lang", "label", "_lang", "_lang_score"]
+    clash = d.withColumns({"_lang": F.lit(1), "_lang_score": F.lit(2)})
+    assert langid.label(clash, langid.fit(d)).columns == ["doc_id", "text", "lang", "label", "_lang", "_lang_score"]
+    kept = langid.prevailing(clash, langid.fit(d), 0.5)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {400, 401, 402}
+
+
+def test_language_of_a_text_depends_on_it_alone(spark):
+    """One-letter texts next to all kinds of neighbours: order and batches change nothing; spans cover the words."""
+    rng = random.Random(31)
+    kinds = {"aa": "the of and to in is that".split(), "bb": "der die und ist nicht ein zu".split()}
+    learn = [(i, " ".join(rng.choices(kinds[k], k=30)), k) for i, k in enumerate(rng.choices(list(kinds), k=300))]
+    model = langid.fit(spark.createDataFrame(learn, "doc_id long, text string, lang string"))
+    texts = [*"abcdefghijklmnopqrstuvwxyz", "the", "und", "é", None, "", "d e", " ".join(kinds["aa"] * 20 + kinds["bb"] * 20), "x " * 20000]
+    seen = []
+    for parts in (1, 5, 17):
+        rows = list(enumerate(texts * 2))
+        rng.shuffle(rows)
+        d = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+        got = langid.identify(d, model, spans=True).collect()
+        seen.append(sorted((r.doc_id, r.lang_pred, r.score, tuple(map(tuple, r.spans))) for r in got))
+    assert seen[0] == seen[1] == seen[2]
+    assert all(x[1:] == y[1:] for x, y in zip(seen[0], seen[0][len(texts) :]))
+    mixed = seen[0][texts.index(texts[-2])][3]
+    assert mixed == ((0, 140, "aa"), (140, 140, "bb")) and seen[0][texts.index(None)][3] == ()
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
