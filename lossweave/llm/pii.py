@@ -15,7 +15,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lossweave.llm.staging import stage
+from lossweave.functions.ranking import bound
+from lossweave.llm.staging import fresh, stage
 
 KINDS = ("email", "ip", "card", "phone")
 #: Code points before a span that the context labeler and classifier read.
@@ -47,22 +48,70 @@ CONTEXT_WORDS = {
 }
 
 
-def _found(text: Column, pattern: str, kind: str, base: bool, source: Column | None = None) -> Column:
-    """Array of (kind, start, end, value, before, base) for every match, positions in code points."""
-    source = text if source is None else source
-    between, matches = F.split(source, pattern, -1), F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(matches, between, lambda m, b: F.struct(m.alias("m"), F.char_length(b).alias("b")))
-    pairs = F.filter(pairs, lambda x: x["m"].isNotNull())
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string,base:boolean>>")
+_SPAN = "array<struct<kind:string,start:int,end:int,value:string,before:string,base:boolean>>"
+#: Elements of a chunk of a running fold; spans of a chunk of a long and of a short piece of text.
+FOLD, CUTS = 256, (16_384, 128)
 
-    def step(s, x):
-        start = s["at"] + x["b"]
-        end = start + F.char_length(x["m"])
-        first = F.greatest(F.lit(0), start - CONTEXT)
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"), F.substring(text, first + 1, start - first).alias("before"), F.lit(base).alias("base"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+def _chunks(values: Column, size: int) -> Column:
+    """An array as arrays of ``size`` elements; one empty array for an empty one."""
+    return bound(lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / size).cast("int")), lambda c: F.slice(v, c * size + 1, size)), values)
+
+
+def _before(values: Column, step, zero: Column) -> Column:
+    """For each element, the fold of those before it.
+
+    Folded in chunks whose own folds are folded first: an array that grows in a
+    fold is copied at every step, which over long arrays would take a square.
+    """
+    def within(chunk, first):
+        grow = lambda s, x: F.struct(step(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        none = F.array().cast("array<int>")
+        return F.aggregate(chunk, F.struct(first.cast("int").alias("at"), none.alias("out")), grow, lambda s: s["out"])
+
+    def run(chunks):
+        firsts = within(F.transform(chunks, lambda c: F.aggregate(c, zero.cast("int"), step)), zero)
+        return bound(lambda f: F.flatten(F.transform(chunks, lambda c, i: within(c, F.get(f, i)))), firsts)
+
+    return bound(run, _chunks(values, FOLD))
+
+
+def _found(text: Column, pattern: str, kind: str, base: bool) -> Column:
+    """Array of (kind, start, end, value, before, base) for every match, positions in code points.
+
+    ``before`` is the last CONTEXT code points of the match before and what stands between.
+    """
+    def run(between, matches):
+        taken = F.transform(matches, lambda m, i: F.char_length(F.get(between, i)) + F.char_length(m))
+        # A card's breaks are marked in its text; they are read as spaces again.
+        said = lambda i: F.translate(F.right(F.concat(F.right(F.coalesce(F.get(matches, i - 1), F.lit("")), F.lit(CONTEXT)), F.right(F.get(between, i), F.lit(CONTEXT))), F.lit(CONTEXT)), "\u0001", " ")
+
+        def one(m, i, at):
+            start = at + F.char_length(F.get(between, i))
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.char_length(m)).alias("end"), m.alias("value"), said(i).alias("before"), F.lit(base).alias("base"))
+
+        return bound(lambda at: F.transform(matches, lambda m, i: one(m, i, F.get(at, i))), _before(taken, lambda a, x: a + x, F.lit(0)))
+
+    return bound(run, F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+
+def _free(sure: Column, unsure: Column) -> Column:
+    """The unsure spans that overlap no sure one.
+
+    In order of start, one overlaps if a sure span before it ends behind its
+    start, or one after it starts before its end.
+    """
+    low, high = -1, 2**31 - 1
+    keyed = lambda spans, sure: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(sure).alias("sure"), x.alias("x")))
+
+    def run(line):
+        back = F.reverse(line)
+        ends = _before(F.transform(line, lambda e: F.when(e["sure"], e["x"]["end"]).otherwise(low)), lambda a, x: F.greatest(a, x), F.lit(low))
+        starts = _before(F.transform(back, lambda e: F.when(e["sure"], e["start"]).otherwise(high)), lambda a, x: F.least(a, x), F.lit(high))
+        marked = bound(lambda a, b: F.transform(line, lambda e, i: F.struct(e["x"].alias("x"), (~e["sure"] & (F.get(a, i) <= e["start"]) & (F.get(b, i) >= e["x"]["end"])).alias("ok"))), ends, F.reverse(starts))
+        return F.transform(F.filter(marked, lambda e: e["ok"]), lambda e: e["x"])
+
+    return bound(run, F.array_sort(F.concat(keyed(sure, True), keyed(unsure, False))))
 
 
 def _digits(value: Column) -> Column:
@@ -76,25 +125,26 @@ def _luhn(value: Column) -> Column:
 
 
 def candidates(docs: DataFrame, text: str = "text", into: str = "_spans") -> DataFrame:
-    """docs with an array of candidate spans; null and empty texts have none."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string,base:boolean>>")
+    """docs with an array of candidate spans; null and empty texts have none.  A column ``into`` of docs gives way."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    empty = F.array().cast(_SPAN)
     some = lambda test, then: F.when(test, then).otherwise(empty)
-    digits = F.col("_digit")
+    digit, emails, ips, cards, phones, more = names = fresh(docs, "digit", "emails", "ips", "cards", "phones", "more")
+    digits = F.col(digit)
     email = some(F.contains(t, F.lit("@")), _found(t, EMAIL, "email", True))
     ip = some(digits & t.rlike("[0-9]\\.[0-9]"), F.filter(_found(t, IP, "ip", True), lambda x: x["value"].rlike(IP_VALID)))
     marked = F.regexp_replace(t, CARD_BREAK, "\u0001")
-    card = F.filter(_found(t, CARD, "card", True, marked), lambda x: F.length(_digits(x["value"])).between(16, 19))
+    card = F.filter(_found(marked, CARD, "card", True), lambda x: F.length(_digits(x["value"])).between(16, 19))
     card = some(digits & t.rlike("[0-9](?:[\\x20-]?[0-9]){15}"), F.transform(card, lambda x: x.withField("base", _luhn(x["value"]))))
     phone = some(digits & F.contains(t, F.lit("+")), F.filter(_found(t, PHONE, "phone", True), lambda x: F.length(_digits(x["value"])).between(8, 15)))
     loose = some(digits & t.rlike(LOOSE_PHONE), _found(t, LOOSE_PHONE, "phone", False))
     spelt = some(t.rlike("(?i)[\\[(]at[\\])]"), _found(t, LOOSE_EMAIL, "email", False))
-    out = docs.withColumn("_digit", t.rlike("[0-9]"))
-    out = out.withColumns({"_email": email, "_ip": ip, "_card": card, "_phone": phone, "_more": F.concat(loose, spelt)})
-    sure = F.concat("_email", "_ip", F.filter("_card", lambda x: x["base"]), "_phone")
-    unsure = F.concat(F.filter("_card", lambda x: ~x["base"]), "_more")
-    free = F.filter(unsure, lambda x: ~F.exists(sure, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    return out.withColumn(into, F.concat(sure, free)).drop("_digit", "_email", "_ip", "_card", "_phone", "_more")
+    out = docs.withColumn(digit, t.rlike("[0-9]"))
+    out = out.withColumns({emails: email, ips: ip, cards: card, phones: phone, more: F.concat(loose, spelt)})
+    sure = F.concat(emails, ips, F.filter(cards, lambda x: x["base"]), phones)
+    unsure = F.concat(F.filter(cards, lambda x: ~x["base"]), more)
+    both = bound(lambda s, u: F.when(F.size(u) == 0, s).when(F.size(s) == 0, u).otherwise(F.concat(s, _free(s, u))), sure, unsure)
+    return out.withColumn(into, both).drop(*(n for n in names if n != into))
 
 
 def _votes(x: Column) -> dict[str, Column]:
@@ -197,27 +247,61 @@ def detect(docs: DataFrame, text: str = "text", model: dict | None = None, into:
     """docs plus ``into``: array of (o, start, end, kind, base) in code points, end exclusive.
 
     Every row keeps its own result, repeated rows included; null or empty text
-    has an empty array; other columns pass through.
+    has an empty array; other columns pass through, but one named ``into`` gives
+    way.  Time follows the text and its matches, not their square.  An empty
+    table gives no rows.
     """
     if model is None:
         model = fit(candidates(docs.select(text), text))
     return resolve(candidates(docs, text, into), model, into)
 
 
+def _cut(text: Column, heads: Column, base: Column, sizes: tuple) -> Column:
+    """For each head (from, start, kind), the text from ``from`` to its start and the kind in angle brackets.
+
+    Reaching a position takes a pass over the string, so pieces are cut from larger pieces.
+    """
+    if not sizes:
+        return F.transform(heads, lambda h: F.concat(F.substring(text, h["from"] - base + 1, h["start"] - h["from"]), F.lit("<"), h["kind"], F.lit(">")))
+
+    def piece(part):
+        first, last = F.get(part, F.lit(0))["from"], F.element_at(part, -1)["start"]
+        return bound(lambda inner, at: _cut(inner, part, at, sizes[1:]), F.substring(text, first - base + 1, last - first), first)
+
+    return F.flatten(F.transform(_chunks(heads, sizes[0]), lambda part: piece(part)))
+
+
 def redact(docs: DataFrame, text: str = "text", model: dict | None = None) -> DataFrame:
-    """docs with each span replaced by its kind in angle brackets; all columns kept, no rows dropped."""
-    out = detect(docs, text, model, "_pii")
-    # Overlapping spans (an address inside a number, say) are merged from left to right.
-    flat = F.array_sort(F.transform("_pii", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    step = lambda s, x: F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))).otherwise(
-        F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, x["start"] - s["at"]), F.lit("<"), x["kind"], F.lit(">")).alias("out")))
-    cut = F.aggregate(flat, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.char_length(F.col(text)))))
-    return out.withColumn(text, F.when(F.size("_pii") > 0, cut).otherwise(F.col(text))).drop("_pii")
+    """docs with each span replaced by its kind in angle brackets; all columns kept, no rows dropped.
+
+    Overlapping spans (an address inside a number, say) are one, of the kind that
+    starts first.  Null and empty texts stay as they are; repeated rows each keep
+    theirs.  Without a model, the candidates are found once and staged with the
+    documents, and the model is fitted on them.
+    """
+    spans, = fresh(docs, "spans")
+    if model is None:
+        found = stage(candidates(docs, text, spans), "candidates")
+        out = resolve(found, fit(found, spans), spans)
+    else:
+        out = detect(docs, text, model, spans)
+
+    def cut(t, line):
+        reach = _before(F.transform(line, lambda x: x["end"]), lambda a, x: F.greatest(a, x), F.lit(0))
+        placed = bound(lambda r: F.transform(line, lambda x, i: F.struct(F.get(r, i).alias("from"), x["start"].alias("start"), x["kind"].alias("kind"))), reach)
+        end = F.array_max(F.transform(line, lambda x: x["end"]))
+        heads = F.filter(placed, lambda x: x["start"] >= x["from"])
+        return bound(lambda h, e: F.concat(F.array_join(_cut(t, h, F.lit(0), CUTS), ""), F.substring(t, e + 1, F.char_length(t))), heads, end)
+
+    flat = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    shown = F.when(F.size(spans) > 0, bound(cut, F.col(f"`{text}`"), flat)).otherwise(F.col(f"`{text}`"))
+    return out.withColumn(text, shown).drop(spans)
 
 
 def digest(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts and digests per document row; the candidates are found once and staged without the texts."""
-    found = stage(candidates(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))).drop("text"), "spans")
+    named = docs.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    found = stage(candidates(named).drop("text"), "spans")
     out = resolve(found, fit(found))
     base = F.filter("_spans", lambda x: x["base"])
     of = lambda k: lambda x: x["kind"] == k

@@ -30,6 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to a fresh table in the shared folder and read it back with its own schema."""
     spark = df.sparkSession
