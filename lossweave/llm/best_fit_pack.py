@@ -1,13 +1,16 @@
 """Token ids packed into fixed rows by best-fit-decreasing with a segment tree.
 
-Texts become token ids; documents longer than a row are split into pieces that
-lose nothing.  Pieces are placed from the longest down, each into the row whose
-free room fits it best, found in a segment tree over capacities.  Rows carry the
-packed ids, the cumulative lengths of their segments and positions that start
-again at each segment.
-
-A task packs its own documents, a bounded number of tokens at a time, so no
-token crosses the network and memory does not follow the input.
+Texts become token ids; documents longer than a row are split into full rows and
+a remainder, which lose nothing.  Remainders are placed from the longest down,
+each into the row whose free room fits it best, over the whole table: equal
+lengths are placed together, so the driver needs the counts of at most ``row``
+lengths and places them with a segment tree over capacities, whatever the number
+of documents.  A remainder finds its row by its rank among those of its length.
+Rows carry the packed ids, the cumulative lengths of their segments and
+positions that start again at each segment.
+
+Ranks follow (length, document id, ids), so the rows do not depend on how the
+input lies in files or partitions.
 """
 
 from __future__ import annotations
@@ -19,29 +22,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Ids in a row, and tokens that a task gathers before it packs them.
-ROW, GATHER = 4096, 4_000_000
+from lossweave.llm.staging import stage
 
-SCHEMA = "row_id string, ids binary, positions binary, cu_seqlens array<int>, docs array<long>, pieces array<int>, n_tokens int"
+#: Ids in a row.
+ROW = 4096
+
+SCHEMA = "row_id long, ids binary, positions binary, cu_seqlens array<int>, docs array<long>, pieces array<int>, n_tokens int"
 
 
 class SegmentTree:
-    """Open rows by their free room; finds the least room that is enough in O(log capacity)."""
+    """Ranges of open rows by their free room; finds the least room that is enough in O(log capacity)."""
 
     def __init__(self, capacity: int):
         self.leaves = 1 << (capacity + 1).bit_length()
         self.count = [0] * (2 * self.leaves)
-        self.rows: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.ranges: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
 
-    def put(self, room: int, row: int) -> None:
-        self.rows[room].append(row)
+    def put(self, room: int, first: int, rows: int) -> None:
+        """Open ``rows`` rows from number ``first`` on; rows without room stay closed."""
+        if not room or not rows:
+            return
+        self.ranges[room].append((first, rows))
         i = self.leaves + room
         while i:
             self.count[i] += 1
             i >>= 1
 
-    def take(self, need: int) -> tuple[int, int] | None:
-        """(room, row) of the fullest row that still has ``need``, which leaves the tree."""
+    def take(self, need: int) -> tuple[int, int, int] | None:
+        """(room, first, rows) of the fullest rows that still have ``need``, which leave the tree."""
         i, count = self.leaves + need, self.count
         while not count[i]:
             while i & 1:
@@ -55,26 +63,35 @@ class SegmentTree:
         while i:
             count[i] -= 1
             i >>= 1
-        return room, self.rows[room].pop()
-
-
-def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Pieces of each row, every piece at most ``capacity``; equal sizes keep their order."""
-    tree, rows = SegmentTree(capacity), []
-    for x in np.argsort(-sizes, kind="stable"):
-        need = int(sizes[x])
-        found = tree.take(need)
-        if found is None:
-            rows.append([int(x)])
-            left = capacity - need
-            at = len(rows) - 1
-        else:
-            room, at = found
-            rows[at].append(int(x))
-            left = room - need
-        if left:
-            tree.put(left, at)
-    return rows
+        return room, *self.ranges[room].pop()
+
+
+def best_fit_decreasing(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """Places counts[n] pieces of each length n (at most ``capacity``); (moves, number of rows).
+
+    A move (length, first, count, each, row, offset) puts the pieces of a length
+    ranked first..first+count-1 into consecutive rows from ``row`` on, ``each``
+    to a row, from ``offset``.  That is best fit decreasing piece by piece: of
+    equal pieces, as many go into one row as have room, for it stays the fullest.
+    """
+    tree, moves, rows = SegmentTree(capacity), [], 0
+    for need in np.flatnonzero(counts)[::-1].tolist():
+        rank, left = 0, int(counts[need])
+        while left:
+            found = tree.take(need)
+            if found is None:
+                many = -(-left // (capacity // need))
+                found = (capacity, rows, many)
+                rows += many
+            room, first, many = found
+            each = room // need
+            for take, used in ((each, min(many, left // each)), (left % each, 1)):
+                if used and take and left >= take and many:
+                    moves.append((need, rank, take * used, take, first, capacity - room))
+                    tree.put(room - take * need, first, used)
+                    rank, left, first, many = rank + take * used, left - take * used, first + used, many - used
+            tree.put(room, first, many)
+    return np.array(moves, np.int64).reshape(-1, 6), rows
 
 
 def byte_ids(texts: list[str]) -> list[np.ndarray]:
@@ -109,71 +126,159 @@ def rank_file_ids(path: str, pattern: str = PIECES):
     return encode
 
 
-def _pack(encode, row: int, gather: int):
+def _encode(encode):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                ids = encode([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([x.itemsize for x in ids], pa.int32()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                    ["doc", "width", "n", "ids"])
+
+    return run
+
+
+def _number(row: int):
+    """Numbers a task's sorted documents, and gives each the full rows before it."""
+
+    def run(batches):
         from pyspark import TaskContext
 
-        task, made = TaskContext.get(), 0
+        task, at, full = TaskContext.get(), 0, 0
         task = task.partitionId() if task else 0
-        held: list[np.ndarray] = []
-        docs: list = []
-        tokens = 0
-
-        def emit():
-            nonlocal made
-            ids = np.concatenate(held) if held else np.zeros(0, np.uint16)
-            size = np.array([len(x) for x in held], np.int64)
-            begin = np.cumsum(size) - size
-            number = np.maximum(1, -(-size // row)) * (size > 0)
-            owner = np.repeat(np.arange(len(size)), number)
-            piece = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
-            start = begin[owner] + piece * row
-            length = np.minimum(row, begin[owner] + size[owner] - start)
-            out = [[] for _ in range(7)]
-            for members in best_fit_decreasing(length, row):
-                packed, place, cu = np.zeros(row, ids.dtype), np.zeros(row, np.uint16), [0]
-                for x in members:
-                    a, n = cu[-1], int(length[x])
-                    packed[a : a + n] = ids[start[x] : start[x] + n]
-                    place[a : a + n] = np.arange(n, dtype=np.uint16)
-                    cu.append(a + n)
-                for c, v in zip(out, (f"{task}-{made}", packed.tobytes(), place.tobytes(), cu, [docs[owner[x]] for x in members], [int(piece[x]) for x in members], cu[-1]), strict=True):
-                    c.append(v)
-                made += 1
-                if len(out[0]) == 512:
-                    yield batch_of(out)
-                    out = [[] for _ in range(7)]
-            if out[0]:
-                yield batch_of(out)
+        for batch in batches:
+            whole = batch.column(2).to_numpy() // row
+            before = full + np.cumsum(whole) - whole
+            number = np.arange(at, at + batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.full(batch.num_rows, task, np.int64)), pa.array(number), pa.array(before)], ["doc", "width", "n", "ids", "task", "at", "full"])
+            at, full = at + batch.num_rows, full + int(whole.sum())
+
+    return run
+
+
+_KINDS = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32()]
+_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
 
+def _whole(row: int, tasks: np.ndarray, firsts: np.ndarray):
+    """The full rows of long documents."""
+
+    def run(batches):
+        place = np.arange(row, dtype=np.uint16).tobytes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                for d, x in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    held.append(x)
-                    docs.append(d)
-                    tokens += len(x)
-                if tokens >= gather:
-                    yield from emit()
-                    held, docs, tokens = [], [], 0
-        if held:
-            yield from emit()
+            for doc, width, n, ids, task, _, full in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                number, size = int(firsts[np.searchsorted(tasks, task)]) + full, row * width
+                for a in range(0, n // row, 1024):
+                    pieces = range(a, min(n // row, a + 1024))
+                    k = len(pieces)
+                    columns = ([number + p for p in pieces], [ids[p * size : (p + 1) * size] for p in pieces], [place] * k, [[0, row]] * k, [[doc]] * k, [[p] for p in pieces], [row] * k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], _NAMES)
 
-    kinds = [pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32()]
+    return run
 
-    def batch_of(columns):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
+
+def _placed(row: int, runs: np.ndarray, moves: np.ndarray, full: int):
+    """Remainders with their row and offset. ``runs`` (task, length, first number, first rank) is sorted, as is ``moves`` by length and rank."""
+
+    def run(batches):
+        order = np.lexsort((moves[:, 1], moves[:, 0]))
+        m = moves[order]
+        key = m[:, 0] << 44 | m[:, 1]
+        of = runs[:, 0] * row + runs[:, 1]
+        for batch in batches:
+            n, task, at = (batch.column(i).to_numpy() for i in (2, 4, 5))
+            size = n % row
+            r = runs[np.searchsorted(of, task * row + size)]
+            rank = r[:, 3] + at - r[:, 2]
+            x = m[np.searchsorted(key, size << 44 | rank, "right") - 1]
+            inner = rank - x[:, 1]
+            ids = [b[-int(k) * w :] for b, k, w in zip(batch.column(3).to_pylist(), size, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full + x[:, 4] + inner // x[:, 3]), pa.array((x[:, 5] + inner % x[:, 3] * size).astype(np.int32)), batch.column(0), pa.array((n // row).astype(np.int32)), batch.column(1), pa.array(ids, pa.binary())],
+                ["row_id", "offset", "doc", "piece", "width", "ids"])
 
     return run
 
 
-def pack(docs: DataFrame, doc: str = "doc_id", text: str = "text", row: int = ROW, gather: int = GATHER, encode=byte_ids) -> DataFrame:
+def _assembled(row: int):
+    """Rows from their remainders, which come sorted by row and offset."""
+
+    def run(batches):
+        out: list[list] = [[] for _ in _NAMES]
+        held: list[tuple] = []
+
+        def close():
+            width = held[0][4]
+            size = [len(h[5]) // width for h in held]
+            cu = np.cumsum([0, *size])
+            ids = b"".join(h[5] for h in held)
+            place = np.zeros(row, np.uint16)
+            place[: cu[-1]] = np.concatenate([np.arange(n, dtype=np.uint16) for n in size])
+            row_of = (held[0][0], ids + bytes(row * width - len(ids)), place.tobytes(), cu.tolist(), [h[2] for h in held], [h[3] for h in held], int(cu[-1]))
+            for c, v in zip(out, row_of, strict=True):
+                c.append(v)
+            held.clear()
+
+        def batch_of():
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _KINDS, strict=True)], _NAMES)
+            for c in out:
+                c.clear()
+            return made
+
+        for batch in batches:
+            for piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != piece[0]:
+                    close()
+                    if len(out[0]) == 512:
+                        yield batch_of()
+                held.append(piece)
+        if held:
+            close()
+        if out[0]:
+            yield batch_of()
+
+    return run
+
+
+def pack(docs: DataFrame, doc: str = "doc_id", text: str = "text", row: int = ROW, encode=byte_ids) -> DataFrame:
     """One row per packed sequence: ids and positions (``row`` each, zeros after n_tokens; little-endian uint16, ids in the encoder's type),
     cumulative segment lengths, and for each segment its document and the piece's number in it.
 
-    Null and empty texts have no tokens and appear in no row.  Repeated rows and
-    null ids are packed like others.  An empty table gives no rows; extra columns
-    are ignored.  ``row`` is at most 65536.
+    Rows are numbered from 0: the full rows of long documents, then the packed
+    ones.  Neither rows nor numbers depend on the partitions of docs.  Null and
+    empty texts have no tokens and appear in no row.  Repeated rows and null ids
+    are packed like others.  An empty table gives no rows; extra columns are
+    ignored.  ``row`` is at most 65536.
+
+    The driver holds the counts of the runs of one length in one task, at most
+    tasks + ``row`` of them, and the moves that place them.
     """
-    d = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
-    return d.mapInArrow(_pack(encode, row, gather), SCHEMA)
+    if not 1 <= row <= 65_536:
+        raise ValueError("row must be in 1..65536")
+    spark = docs.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+    ids = stage(d.mapInArrow(_encode(encode), "doc long, width int, n long, ids binary").where("n > 0").withColumn("tie", F.monotonically_increasing_id()), "ids")
+    # Equal rows differ by their tie alone: they may stand for each other, and a range may be cut between them.
+    order = [F.col("n") % row, "doc", F.xxhash64("ids"), "tie"]
+    ordered = stage(ids.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("tie").mapInArrow(_number(row), "doc long, width int, n long, ids binary, task long, at long, full long"), "ordered")
+    runs = ordered.groupBy("task", (F.col("n") % row).alias("size")).agg(F.count("*").alias("rows"), F.min("at").alias("first"), F.sum(F.expr(f"n div {row}")).alias("full")).orderBy("task", "size").toArrow()
+    task, size, rows, first, full = (runs[c].to_numpy().astype(np.int64) for c in ("task", "size", "rows", "first", "full"))
+    counts = np.zeros(row, np.int64)
+    np.add.at(counts, size, rows)
+    counts[0] = 0
+    moves, _ = best_fit_decreasing(counts, row)
+    rank = np.zeros(len(size), np.int64)
+    by = np.lexsort((task, size))
+    rank[by] = np.cumsum(rows[by]) - rows[by]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(size, weights=rows, minlength=row))])[:-1].astype(np.int64)
+    rank -= starts[size]
+    tasks, at = np.unique(task, return_inverse=True)
+    fulls = np.bincount(at, weights=full, minlength=len(tasks)).astype(np.int64)
+    firsts = np.cumsum(fulls) - fulls
+    whole = ordered.where(F.col("n") >= row).mapInArrow(_whole(row, tasks, firsts), SCHEMA)
+    table = np.stack([task, size, first, rank], axis=1)
+    rest = ordered.where(F.col("n") % row > 0).mapInArrow(_placed(row, table, moves, int(full.sum())), "row_id long, offset int, doc long, piece int, width int, ids binary")
+    packed = rest.repartition(parts, "row_id").sortWithinPartitions("row_id", "offset").mapInArrow(_assembled(row), SCHEMA)
+    return whole.unionByName(packed)

@@ -95,20 +95,41 @@ def test_boundaries_pad_least():
     assert boundaries([], [], 4) == []
 
 
+def plain_best_fit(sizes, capacity):
+    """Rooms left by best fit decreasing, piece by piece."""
+    room = []
+    for n in sorted(sizes, reverse=True):
+        fit = [r for r in room if r >= n]
+        room.remove(min(fit)) if fit else None
+        room.append((min(fit) if fit else capacity) - n)
+    return sorted(room)
+
+
 def test_best_fit_decreasing_takes_the_fullest_row():
     rng = np.random.default_rng(1)
-    for _ in range(100):
+    for _ in range(200):
         c = int(rng.integers(1, 50))
         s = rng.integers(1, c + 1, int(rng.integers(0, 120)))
-        rows = best_fit_decreasing(s, c)
-        assert sorted(x for r in rows for x in r) == list(range(len(s)))
-        assert all(sum(s[x] for x in r) <= c for r in rows)
-        room = []
-        for x in np.argsort(-s, kind="stable"):
-            fit = [r for r in room if r >= s[x]]
-            room.remove(min(fit)) if fit else None
-            room.append((min(fit) if fit else c) - s[x])
-        assert sorted(c - sum(s[x] for x in r) for r in rows) == sorted(room)
+        counts = np.bincount(s, minlength=c + 1)
+        moves, rows = best_fit_decreasing(counts, c)
+        used = [[] for _ in range(rows)]
+        for n, first, count, each, row, offset in moves.tolist():
+            for i in range(count):
+                used[row + i // each].append((offset + i % each * n, n))
+        assert sorted(n for r in used for _, n in r) == sorted(s.tolist())
+        for n in set(s.tolist()):  # every rank once
+            assert sorted(first + i for m, first, count, *_ in moves.tolist() if m == n for i in range(count)) == list(range(counts[n]))
+        for r in used:  # side by side, without gaps
+            assert [a for a, _ in sorted(r)] == np.cumsum([0, *(n for _, n in sorted(r))])[:-1].tolist()
+        assert sorted(c - sum(n for _, n in r) for r in used) == plain_best_fit(s.tolist(), c)
+
+
+def test_moves_do_not_follow_the_number_of_pieces():
+    rng = np.random.default_rng(2)
+    counts = rng.integers(1, 100, 4097)
+    counts[0] = 0
+    few, many = (len(best_fit_decreasing(counts * k, 4096)[0]) for k in (1, 1_000_000))
+    assert many < 4 * few and many < 60_000
 
 
 def test_window_is_thirteen():

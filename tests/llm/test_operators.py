@@ -352,7 +352,7 @@ def test_one_very_long_document_leaves_the_bounds_exact(spark):
 
 def test_packing_round_trip(spark):
     rows = [*corpus(11), (None, "ohne Nummer"), (90, "日本語 " * 3000)]
-    got = best_fit_pack.pack(table(spark, rows), row=64, gather=2000).collect()
+    got = best_fit_pack.pack(table(spark, rows), row=64).collect()
     parts = Counter()
     whole = defaultdict(list)
     for r in got:
@@ -368,6 +368,24 @@ def test_packing_round_trip(spark):
     assert parts[3] == 2 * len(next(t for i, t in rows if i == 3).encode())
 
 
+def test_packing_is_best_fit_over_the_table(spark):
+    """The rows are those of piece-by-piece best fit over all documents, and the same from 1, 4 and 16 partitions."""
+    from tests.llm.test_kernels import plain_best_fit
+
+    rng = random.Random(14)
+    rows = [(i, "x" * rng.choice([5, 5, 5, rng.randint(0, 200)])) for i in range(300)] + [(7, "again"), (7, "again"), (None, "n" * 64), (400, "l" * 1000)]
+    seen = []
+    for parts in (1, 4, 16):
+        rng.shuffle(rows)
+        d = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+        seen.append(sorted(best_fit_pack.pack(d, row=64).collect(), key=lambda r: r.row_id))
+    assert seen[0] == seen[1] == seen[2]
+    rest = [len(t) % 64 for _, t in rows if len(t) % 64]
+    full = sum(len(t) // 64 for _, t in rows)
+    assert [r.row_id for r in seen[0]] == list(range(full + len(plain_best_fit(rest, 64))))
+    assert sorted(64 - r.n_tokens for r in seen[0]) == sorted([0] * full + plain_best_fit(rest, 64))
+
+
 def test_packing_with_a_vocabulary(spark):
     import base64
     import os
