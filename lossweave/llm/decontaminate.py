@@ -10,6 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lossweave.functions.ranking import bound
+from lossweave.llm.folds import before
+from lossweave.llm.staging import fresh
+
 WINDOW = 13
 #: Windows of all test items up to which their set is broadcast; larger sets are joined by shuffle.
 BROADCAST_WINDOWS = 500_000
@@ -90,19 +94,43 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
     return out.drop("_copy")
 
 
+def _found(docs: DataFrame, benchmark: DataFrame, doc: str, text: str, where: str, columns: list[str], **names) -> tuple[DataFrame, list[str], Column]:
+    """Documents of ``contamination`` once each under names that docs lacks, those names, and the condition that joins them."""
+    new = fresh(docs, "found_doc", "found_key", *(f"found_{c}" for c in columns))
+    found = contamination(docs, benchmark, doc, text, **names).where(where).select(F.col(f"`{doc}`").alias(new[0]), F.col("key").alias(new[1]), *[F.col(c).alias(n) for c, n in zip(columns, new[2:], strict=True)])
+    on = F.col(f"`{doc}`").eqNullSafe(F.col(new[0])) & (F.xxhash64(F.col(f"`{text}`")) == F.col(new[1]))
+    return found.dropDuplicates(new[:2]), new, on
+
+
 def remove_documents(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", **names) -> DataFrame:
-    """docs without the contaminated ones, all columns kept."""
-    bad = contamination(docs, benchmark, doc, text, **names).where("contaminated").select(F.col(doc).alias("_bad"), F.col("key").alias("_key")).distinct()
-    return docs.join(bad, F.col(doc).eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(text)) == F.col("_key")), "left_anti")
+    """docs without the contaminated ones; all columns kept, null and empty texts too."""
+    found, _, on = _found(docs, benchmark, doc, text, "contaminated", [], **names)
+    return docs.join(found, on, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", **names) -> DataFrame:
-    """docs with every hit word cut out of the text; all that stands between the words stays."""
-    found = contamination(docs, benchmark, doc, text, **names).where("n_hit > 0").select(F.col(doc).alias("_doc"), F.col("key").alias("_key"), F.col("hits").alias("_hits")).distinct()
-    out = docs.join(found, F.col(doc).eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(text)) == F.col("_key")), "left")
-    plain = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-    gone = F.array_distinct(F.flatten(F.transform("_hits", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1))))
-    kept = F.transform(F.regexp_extract_all(F.col(text), F.lit(plain), F.lit(0)), lambda w, i: F.when(F.array_contains(gone, i), F.lit("")).otherwise(w))
-    gaps = F.split(F.col(text), plain)
-    cut = F.array_join(F.zip_with(gaps, kept, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
-    return out.withColumn(text, F.when(F.col("_hits").isNull(), F.col(text)).otherwise(cut)).drop("_doc", "_key", "_hits")
+    """docs with every hit word cut out of the text; all that stands between the words stays, and all columns.
+
+    Hits come in order of start; one that starts before the furthest end so far
+    goes on with the stretch before it.  Words are then taken stretch by stretch.
+    """
+    found, new, on = _found(docs, benchmark, doc, text, "n_hit > 0", ["hits"], **names)
+    plain = F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
+    t, hits = F.col(f"`{text}`"), F.col(new[2])
+    end = lambda x: (x["start"] + x["n"]).cast("int")
+
+    def stretches(line):
+        """(from, start): where the stretch before ended, where this one starts; at last the end of them all."""
+        reach = before(F.transform(line, end), lambda a, x: F.greatest(a, x), F.lit(0))
+        placed = bound(lambda r: F.transform(line, lambda x, i: F.struct(F.get(r, i).alias("from"), x["start"].cast("int").alias("start"))), reach)
+        last = F.array_max(F.transform(line, end))
+        return F.concat(F.filter(placed, lambda x: x["start"] >= x["from"]), F.array(F.struct(last.alias("from"), F.lit(None).cast("int").alias("start"))))
+
+    def cut(pieces, line):
+        n = F.size(pieces)
+        kept = lambda h: F.transform(F.slice(pieces, h["from"] + 1, F.coalesce(h["start"], n) - h["from"]), lambda p: F.concat(p["gap"], F.coalesce(p["word"], F.lit(""))))
+        gone = lambda h, i: F.when(h["start"].isNotNull(), F.transform(F.slice(pieces, h["start"] + 1, F.get(line, i + 1)["from"] - h["start"]), lambda p: p["gap"])).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.flatten(F.transform(line, lambda h, i: F.concat(kept(h), gone(h, i)))), "")
+
+    pieces = F.zip_with(F.split(t, plain), F.regexp_extract_all(t, plain, F.lit(0)), lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
+    return docs.join(found, on, "left").withColumn(text, F.when(hits.isNull(), t).otherwise(bound(cut, pieces, stretches(hits)))).drop(*new)

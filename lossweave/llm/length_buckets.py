@@ -73,7 +73,7 @@ def word_lengths(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
 
 
 def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """(doc, n, bucket, bound, batch, slot, padding) for each row of (doc, n).
+    """(doc, n, bucket, bound, batch, slot, padding) for each row of (doc, n), and its ``row`` if lengths has one.
 
     ``bound`` is the bucket's length.  Batches are numbered within their bucket
     in the order of doc (null ids first) and hold max(1, budget // bound) rows;
@@ -86,7 +86,8 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
     sqrt(2 * words), 100,000 for 5e9 words, whatever the longest text.
     """
     spark = lengths.sparkSession
-    lens = stage(lengths.select("doc", F.coalesce("n", F.lit(0)).cast("long").alias("n")), "lengths")
+    carried = ["row"] if "row" in lengths.columns else []
+    lens = stage(lengths.select("doc", F.coalesce("n", F.lit(0)).cast("long").alias("n"), *carried), "lengths")
     rows = lens.groupBy("n").count().orderBy("n").toArrow()
     bounds = boundaries(rows["n"].to_pylist(), rows["count"].to_pylist(), buckets)
     table = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
@@ -94,11 +95,30 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
     placed = lens.withColumn("bucket", bucket.cast("int")).withColumn("bound", F.element_at(table, F.col("bucket") + 1))
     # Ranks without one task per bucket: a range sort, then each task's rows shifted by what stands before them.
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = stage(placed.repartitionByRange(parts, "bucket", "doc", "n").sortWithinPartitions("bucket", "doc", "n").withColumn("at", F.monotonically_increasing_id()), "ordered")
+    order = ["bucket", "doc", "n", *(F.xxhash64(c) for c in carried)]
+    ordered = stage(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("at", 33).alias("part")
     runs = ordered.groupBy("bucket", part).agg(F.count("*").alias("rows"), F.min("at").alias("first"))
     before = "sum(rows) over (partition by bucket order by part rows between unbounded preceding and 1 preceding)"
     runs = runs.select("bucket", "part", "first", F.coalesce(F.expr(before), F.lit(0)).alias("before"))
-    out = ordered.withColumn("part", part).join(runs, ["bucket", "part"])
+    # In the sort's order a bucket's tasks follow each other: at most tasks + buckets runs, so they are broadcast.
+    out = ordered.withColumn("part", part).join(F.broadcast(runs), ["bucket", "part"])
     rank, room = F.col("at") - F.col("first") + F.col("before"), F.greatest(F.lit(1), F.expr(f"{int(budget)} div greatest(bound, 1)"))
-    return out.select("doc", "n", F.col("bucket").cast("long").alias("bucket"), "bound", F.floor(rank / room).cast("long").alias("batch"), F.pmod(rank, room).cast("long").alias("slot"), (F.col("bound") - F.col("n")).alias("padding"))
+    return out.select("doc", "n", F.col("bucket").cast("long").alias("bucket"), "bound", F.floor(rank / room).cast("long").alias("batch"), F.pmod(rank, room).cast("long").alias("slot"), (F.col("bound") - F.col("n")).alias("padding"), *carried)
+
+
+#: What ``places`` adds to a document.
+PLACE = ("n_tokens", "bucket", "bound", "batch", "slot", "padding")
+
+
+def places(docs: DataFrame, doc: str = "doc_id", text: str = "text", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """docs, texts and all, with each document's place (PLACE) as ``pack`` gives it.
+
+    Null and empty texts have no tokens and stand in the first bucket; repeated
+    rows each take a slot; columns of docs named as a place's give way.  An empty
+    table gives no rows.
+    """
+    words = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc}`").cast("long").alias("doc"), words.cast("long").alias("n"))
+    out = pack(rows, buckets, budget).withColumnRenamed("n", "n_tokens")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in PLACE], *PLACE)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lossweave.llm import textkernels as K
 from lossweave.llm.graph import components, forest
-from lossweave.llm.staging import drop, stage
+from lossweave.llm.staging import drop, fresh, stage
 
 #: Minwise tokens of a class, least independent trees, largest node that is compared as one, and levels.
 TOKENS, TREES, NODE, LEVELS = 64, 16, 2048, 12
@@ -380,6 +380,10 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", sh
 
 
 def drop_near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one document of each group, the one with the smallest id; all columns kept."""
-    gone = near_duplicates(docs, doc, text, **options).where("not kept").select(F.col(doc).alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc) == F.col("_gone"), "left_anti")
+    """docs with one document of each group, the one with the smallest id; all columns kept.
+
+    Rows without an id, and texts without words, are kept; rows of one id stay or go together.
+    """
+    gone, = fresh(docs, "gone")
+    out = near_duplicates(docs, doc, text, **options).where("not kept").select(F.col(f"`{doc}`").alias(gone)).distinct()
+    return docs.join(out, F.col(f"`{doc}`") == F.col(gone), "left_anti")

@@ -16,6 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lossweave.functions.ranking import bound
+from lossweave.llm.folds import before, chunks
 from lossweave.llm.staging import fresh, stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -49,31 +50,8 @@ CONTEXT_WORDS = {
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string,before:string,base:boolean>>"
-#: Elements of a chunk of a running fold; spans of a chunk of a long and of a short piece of text.
-FOLD, CUTS = 256, (16_384, 128)
-
-
-def _chunks(values: Column, size: int) -> Column:
-    """An array as arrays of ``size`` elements; one empty array for an empty one."""
-    return bound(lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / size).cast("int")), lambda c: F.slice(v, c * size + 1, size)), values)
-
-
-def _before(values: Column, step, zero: Column) -> Column:
-    """For each element, the fold of those before it.
-
-    Folded in chunks whose own folds are folded first: an array that grows in a
-    fold is copied at every step, which over long arrays would take a square.
-    """
-    def within(chunk, first):
-        grow = lambda s, x: F.struct(step(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
-        none = F.array().cast("array<int>")
-        return F.aggregate(chunk, F.struct(first.cast("int").alias("at"), none.alias("out")), grow, lambda s: s["out"])
-
-    def run(chunks):
-        firsts = within(F.transform(chunks, lambda c: F.aggregate(c, zero.cast("int"), step)), zero)
-        return bound(lambda f: F.flatten(F.transform(chunks, lambda c, i: within(c, F.get(f, i)))), firsts)
-
-    return bound(run, _chunks(values, FOLD))
+#: Spans of a chunk of a long and of a short piece of text.
+CUTS = (16_384, 128)
 
 
 def _found(text: Column, pattern: str, kind: str, base: bool) -> Column:
@@ -90,7 +68,7 @@ def _found(text: Column, pattern: str, kind: str, base: bool) -> Column:
             start = at + F.char_length(F.get(between, i))
             return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.char_length(m)).alias("end"), m.alias("value"), said(i).alias("before"), F.lit(base).alias("base"))
 
-        return bound(lambda at: F.transform(matches, lambda m, i: one(m, i, F.get(at, i))), _before(taken, lambda a, x: a + x, F.lit(0)))
+        return bound(lambda at: F.transform(matches, lambda m, i: one(m, i, F.get(at, i))), before(taken, lambda a, x: a + x, F.lit(0)))
 
     return bound(run, F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
@@ -106,8 +84,8 @@ def _free(sure: Column, unsure: Column) -> Column:
 
     def run(line):
         back = F.reverse(line)
-        ends = _before(F.transform(line, lambda e: F.when(e["sure"], e["x"]["end"]).otherwise(low)), lambda a, x: F.greatest(a, x), F.lit(low))
-        starts = _before(F.transform(back, lambda e: F.when(e["sure"], e["start"]).otherwise(high)), lambda a, x: F.least(a, x), F.lit(high))
+        ends = before(F.transform(line, lambda e: F.when(e["sure"], e["x"]["end"]).otherwise(low)), lambda a, x: F.greatest(a, x), F.lit(low))
+        starts = before(F.transform(back, lambda e: F.when(e["sure"], e["start"]).otherwise(high)), lambda a, x: F.least(a, x), F.lit(high))
         marked = bound(lambda a, b: F.transform(line, lambda e, i: F.struct(e["x"].alias("x"), (~e["sure"] & (F.get(a, i) <= e["start"]) & (F.get(b, i) >= e["x"]["end"])).alias("ok"))), ends, F.reverse(starts))
         return F.transform(F.filter(marked, lambda e: e["ok"]), lambda e: e["x"])
 
@@ -268,7 +246,7 @@ def _cut(text: Column, heads: Column, base: Column, sizes: tuple) -> Column:
         first, last = F.get(part, F.lit(0))["from"], F.element_at(part, -1)["start"]
         return bound(lambda inner, at: _cut(inner, part, at, sizes[1:]), F.substring(text, first - base + 1, last - first), first)
 
-    return F.flatten(F.transform(_chunks(heads, sizes[0]), lambda part: piece(part)))
+    return F.flatten(F.transform(chunks(heads, sizes[0]), lambda part: piece(part)))
 
 
 def redact(docs: DataFrame, text: str = "text", model: dict | None = None) -> DataFrame:
@@ -287,7 +265,7 @@ def redact(docs: DataFrame, text: str = "text", model: dict | None = None) -> Da
         out = detect(docs, text, model, spans)
 
     def cut(t, line):
-        reach = _before(F.transform(line, lambda x: x["end"]), lambda a, x: F.greatest(a, x), F.lit(0))
+        reach = before(F.transform(line, lambda x: x["end"]), lambda a, x: F.greatest(a, x), F.lit(0))
         placed = bound(lambda r: F.transform(line, lambda x, i: F.struct(F.get(r, i).alias("from"), x["start"].alias("start"), x["kind"].alias("kind"))), reach)
         end = F.array_max(F.transform(line, lambda x: x["end"]))
         heads = F.filter(placed, lambda x: x["start"] >= x["from"])

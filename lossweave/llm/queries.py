@@ -87,6 +87,24 @@ def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"doc": "doc_id", "n": "n_tokens"})
 
 
+# Layer k of the recursion holds, for each length j, the least padding of k buckets that end there (ties: the smaller
+# split) and their bounds; 16 layers, or as many as there are lengths.
+ORACLES["op6_length_buckets"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents),
+h AS (SELECT n, row_number() OVER (ORDER BY n) AS j, CAST(sum(count(*)) OVER (ORDER BY n) AS BIGINT) AS c FROM d GROUP BY n),
+last AS (SELECT max(j) AS j, least(16, max(j)) AS k FROM h),
+r AS (SELECT 1 AS k, j, c, n * c AS cost, [n] AS bounds FROM h
+      UNION ALL
+      SELECT k, j, c, best.cost, list_append(best.bounds, n)
+      FROM (SELECT r.k + 1 AS k, h.j, h.c, h.n, min({'cost': r.cost + h.n * (h.c - r.c), 'i': r.j, 'bounds': r.bounds}) AS best
+            FROM r JOIN h ON h.j > r.j WHERE r.k < (SELECT k FROM last) GROUP BY r.k, h.j, h.c, h.n)),
+bounds AS (SELECT unnest(bounds) AS bound, unnest(range(0, len(bounds))) AS bucket FROM r JOIN last ON r.j = last.j AND r.k = last.k),
+p AS (SELECT doc_id, n, min({'bucket': bucket, 'bound': bound}) AS b FROM d JOIN bounds ON n <= bound GROUP BY doc_id, n),
+q AS (SELECT doc_id, n, b.bucket AS bucket, b.bound AS bound, row_number() OVER (PARTITION BY b.bucket ORDER BY doc_id, n) - 1 AS rank, greatest(1, 65536 // greatest(b.bound, 1)) AS room FROM p)
+SELECT doc_id, n AS n_tokens, bucket, bound, rank // room AS batch, rank % room AS slot, bound - n AS padding FROM q
+"""
+
+
 @_query
 def op7_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after 13-word windows that also start in an earlier document are removed."""

@@ -181,6 +181,19 @@ def brute_contamination(docs, bench, k):
     return out
 
 
+def brute_hits(t, bench, k):
+    norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+    w, hit = norm(t), set()
+    for _, b in bench:
+        v = norm(b)
+        n = min(k, len(v))
+        windows = {tuple(v[j : j + n]) for j in range(len(v) - n + 1)} if v else set()
+        for j in range(len(w) - n + 1) if v else ():
+            if tuple(w[j : j + n]) in windows:
+                hit |= set(range(j, j + n))
+    return hit
+
+
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_contamination(spark, monkeypatch, limit):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
@@ -194,6 +207,16 @@ def test_contamination(spark, monkeypatch, limit):
     left = decontaminate.remove_documents(table(spark, rows), b, window=5)
     assert Counter(r.doc_id for r in left.collect()) == Counter(w[0] for w in want if not w[4])
     cut = decontaminate.remove_spans(table(spark, rows), b, window=5).select("doc_id", "text").collect()
+    clash = table(spark, rows).withColumns({c: F.lit("x") for c in ("found_doc", "found_key", "found_hits", "_bad", "_hits", "hits", "w", "pos", "len")})
+    for out in (decontaminate.remove_documents(clash, b, window=5), decontaminate.remove_spans(clash, b, window=5)):
+        assert out.columns == clash.columns and {r.found_doc for r in out.collect()} == {"x"}
+    plain = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    left = []
+    for (i, t), (_, _, _, _, _) in zip(rows, want):
+        covered = brute_hits(t, bench, 5)
+        at = iter(range(10**9))
+        left.append((i, None if t is None else plain.sub(lambda m: "" if next(at) in covered else m[0], t)))
+    assert Counter(map(tuple, cut)) == Counter(left)
     assert sum(w[1] - w[2] for w in want) == sum(len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r.text or "")) for r in cut)
 
 
@@ -340,6 +363,18 @@ def test_length_buckets(spark):
         assert sorted(m.slot for m in members) == list(range(len(members))) and (len(members) == room or (batch == last[bucket] and len(members) < room))
 
 
+def test_places_keep_the_documents(spark):
+    rows = [*corpus(13), (None, "no id at all")]
+    d = table(spark, rows).withColumns({"bound": F.lit("x"), "row": F.lit("y"), "n": F.lit("z")})
+    got = length_buckets.places(d, buckets=4, budget=200)
+    assert got.columns == [c for c in d.columns if c not in length_buckets.PLACE] + list(length_buckets.PLACE)
+    got = got.collect()
+    assert Counter((r.doc_id, r.text, r.n_tokens, r.row, r.n) for r in got) == Counter((i, t, len(WORD.findall(t or "")), "y", "z") for i, t in rows)
+    plain = length_buckets.pack(length_buckets.word_lengths(table(spark, rows)), buckets=4, budget=200).collect()
+    assert Counter((r.doc, r.n, r.bound, r.batch, r.slot) for r in plain) == Counter((r.doc_id, r.n_tokens, r.bound, r.batch, r.slot) for r in got)
+    assert length_buckets.places(d.limit(0)).count() == 0
+
+
 def test_one_very_long_document_leaves_the_bounds_exact(spark):
     """A length far above the others changes neither their bounds nor their padding; the least padding is found by brute force."""
     lengths = [1, 3, 3, 3, 17, 17, 18, 40, 41, 1_000_001]

@@ -45,7 +45,31 @@ def test_stages(spark, tmp_path):
             want = want[:a] + f"<{k}>" + want[b:]
         assert r.text == want
     five = apply["packing"](spark, four, str(tmp_path)).collect()
-    assert {(r.doc_id, r.n_tokens) for r in five} == {(r.doc_id, len(WORD.findall(r.text))) for r in four.collect()}
+    assert {(r.doc_id, r.text, r.n_tokens) for r in five} == {(r.doc_id, r.text, len(WORD.findall(r.text))) for r in four.collect()}
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, five))
     assert KINDS and re
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Each stage alone on nulls, empty and very long texts, repeated rows, clashing names, and no rows at all."""
+    extra = ["lang_pred", "score", "doc", "n", "key", "rep", "row", "_lang", "_gone", "_bad", "_pii", "spans", "bucket", "bound", "found_doc", "component_id"]
+    long = " ".join(f"the word{i}" for i in range(20_000)) + " a.b@c.de" * 500
+    rows = [(1, "the of and to in is that with", "en"), (1, "the of and to in is that with", "en"), (2, None, "en"), (3, "", None), (4, " \n", "en"), (5, long, "en"), (None, "of the and to in", "en"), (6, long, None), (6, long, None), (7, "a1 a2 a3 the of and", None), (8, "mail the a.b@c.de of and", "en")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    d = spark.createDataFrame([(*r, "s", 0, *extra) for r in rows], schema)
+    spark.createDataFrame([(1, "a1 a2 a3"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {
+        "language": [r[:2] for r in rows if r[1] and r[1].strip()],
+        "near_duplicates": [r[:2] for r in rows if r[0] not in (6,)],
+        "contamination": [r[:2] for r in rows if r[0] != 7],
+        "personal_data": [(r[0], r[1] and r[1].replace("a.b@c.de", "<email>")) for r in rows],
+        "packing": [r[:2] for r in rows]}
+    for name, apply in corpus_pipeline.STAGES:
+        out = apply(spark, d, str(tmp_path))
+        lost = {"bucket", "bound"} if name == "packing" else set()
+        assert out.columns[: len(d.columns) - len(lost)] == [c for c in d.columns if c not in lost], name
+        got = out.collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want[name], key=repr), name
+        assert all(r[c] == c for r in got for c in extra if c not in lost)
+        assert apply(spark, d.limit(0), str(tmp_path)).count() == 0
