@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lossweave.llm import decontaminate, langid, length_buckets, minhash_paths, pii
 from lossweave.llm.staging import stage
@@ -12,29 +12,52 @@ LANGUAGE_SHARE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with one prevailing language; those without letters or with no language for half of them go."""
-    labelled = langid.label(docs, langid.fit(docs))
-    return labelled.where((F.col("_lang") != "und") & (F.col("_lang_score") >= LANGUAGE_SHARE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents with one prevailing language; those without letters or with no language for half of them go.
+
+    Learned from the labelled documents that are not held out; without any, no
+    document has a language and all go.  Null and empty texts go.  Repeated rows
+    share one fate; further columns pass, whatever their names; no rows, no rows.
+    """
+    return langid.prevailing(docs, langid.fit(docs), LANGUAGE_SHARE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates on 5-word shingles at a similarity of 0.8."""
+    """One document of each group of near-duplicates on 5-word shingles at a similarity of 0.8: the smallest id.
+
+    Texts without words, null ones included, and rows without an id are kept.
+    Rows of one id are one document and stay or go together.  Further columns
+    pass, whatever their names; no rows, no rows.
+    """
     return minhash_paths.drop_near_duplicates(docs, shingle=5, similarity=80)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is benchmark text."""
+    """Documents of which less than a twentieth is benchmark text.
+
+    Null and empty texts hold none and are kept, as are all if the benchmark is
+    empty.  Repeated rows share one fate; rows of one id but other texts are
+    judged apart.  Further columns pass, whatever their names; no rows, no rows.
+    """
     return decontaminate.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with personal data replaced by its kind."""
-    return pii.redact(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The same documents with personal data replaced by its kind in angle brackets; no row goes.
+
+    Null and empty texts stay as they are.  Repeated rows are changed alike.
+    Further columns pass, whatever their names; no rows, no rows.
+    """
+    return pii.redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's place in the batches of its length bucket."""
-    return length_buckets.pack(length_buckets.word_lengths(docs)).withColumnsRenamed({"doc": "doc_id", "n": "n_tokens"})
+    """The documents, each with its place in the batches of its length bucket.
+
+    Null and empty texts have no tokens and stand in the first bucket.  Repeated
+    rows each take a slot.  Further columns pass, but those named as a place's
+    give way; no rows, no rows.
+    """
+    return length_buckets.places(docs)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("contamination", contamination), ("personal_data", personal_data), ("packing", packing)]
