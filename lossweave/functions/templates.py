@@ -78,18 +78,51 @@ def native_thought_ok(response: Column) -> Column:
     return ~foreign & F.startswith(response, F.lit(THOUGHT_OPEN)) & (_occurrences(response, THOUGHT_OPEN) == 1) & (_occurrences(response, THOUGHT_CLOSE) == 1)
 
 
-def resolve(model_dir: str, requested: str = "auto") -> str:
-    """Template of a model folder: as requested, as its training notes say, or by its model type."""
+#: Words in a model's or an input's path that tell a reasoning run.
+REASONING = ("openr1", "openmath", "reason")
+
+
+def resolve(model_dir: str, requested: str = "auto", input_path: str = "", configs: str | None = None) -> str:
+    """Template of a model folder.
+
+    As requested; else as the folder's training note says; else as the training
+    settings of that name beneath ``configs`` say (of the parent's name for a
+    checkpoint); else by its model type, where a qwen model is taken to reason
+    only if its path or the input's says so.
+    """
     if requested != "auto":
         if requested not in TEMPLATES:
             raise ValueError(f"unknown template {requested!r}")
         return requested
     at = Path(model_dir)
-    for note in ("training_args.yaml", "llamaboard_config.yaml"):
-        if (at / note).is_file() and (m := re.search(r"^template:\s*([^\s#]+)", (at / note).read_text(), re.M)) and m[1] in TEMPLATES:
-            return m[1]
+    note = at / "training_template.json"
+    if note.is_file() and (name := json.loads(note.read_text()).get("training_template")) in TEMPLATES:
+        return name
+    names = [at.name, at.parent.name] if at.name.startswith("checkpoint-") else [at.name]
+    for file in (Path(configs) / group / f"{n}.{suffix}" for n in names for suffix in ("yaml", "yml") for group in ("baseline", "selective")) if configs else ():
+        if file.is_file():
+            import yaml
+
+            name = (yaml.safe_load(file.read_text()) or {}).get("template")
+            if name in TEMPLATES:
+                return name
     kind = str(json.loads((at / "config.json").read_text()).get("model_type", "")).lower() if (at / "config.json").is_file() else ""
-    for prefix, name in (("gemma4", "gemma4"), ("gemma3", "gemma3"), ("mimo", "mimo"), ("qwen3", "qwen3"), ("llama", "llama3")):
-        if kind.startswith(prefix):
+    if "qwen" in kind:
+        where = f"{model_dir} {input_path}".lower()
+        return "qwen3" if any(w in where for w in REASONING) else "qwen3_nothink"
+    for known, name in ((kind == "gemma3", "gemma3"), ("gemma4" in kind, "gemma4"), (kind == "mimo", "mimo"), ("llama" in kind, "llama3")):
+        if known:
             return name
     raise ValueError(f"cannot tell the template of {model_dir!r}; name one of {sorted(TEMPLATES)}")
+
+
+# Fixed value: the chat template of runs without reasoning, so that generation starts as training did.
+NOTHINK_CHAT = """{%- for message in messages %}
+    {%- if message.role in ['system', 'user', 'assistant'] %}
+        {{- '<|im_start|>' + message.role + '\\n' + message.content + '<|im_end|>\\n' }}
+    {%- endif %}
+{%- endfor %}
+{%- if add_generation_prompt %}
+    {{- '<|im_start|>assistant\\n' }}
+{%- endif %}
+"""

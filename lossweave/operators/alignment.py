@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lossweave.functions import ranking as R
 
@@ -26,7 +26,7 @@ def attach(samples: DataFrame, scores: DataFrame, index: str = "row_index") -> D
     """Inner join on the row number.
 
     Score files may be sparse: rows without scores go.  Scores for rows that do
-    not exist, or an empty score file, are errors.
+    not exist, and two scores for one row, are errors.
     """
     total = samples.agg(F.coalesce(F.max(index) + 1, F.lit(0)).alias("_total"))
     s = require(scores).withColumn("_at", sample_index(F.col("_selection_sample_id")))
@@ -34,7 +34,11 @@ def attach(samples: DataFrame, scores: DataFrame, index: str = "row_index") -> D
     fail = F.raise_error(F.concat(F.lit("score for no source row: "), F.coalesce("_selection_sample_id", F.lit("null")))).cast("long")
     s = s.withColumn("_at", F.when(F.col("_at").between(0, F.col("_total") - 1), F.col("_at")).otherwise(fail)).drop("_total")
     keep = ["_at", *[f"_selection_{c}" for c in REQUIRED]]
-    return samples.join(s.select(*keep), samples[index] == F.col("_at")).drop("_at")
+    # Counted on the join's own key, so the rows move once.
+    s = s.select(*keep, F.count("*").over(Window.partitionBy("_at")).alias("_times"))
+    twice = F.raise_error(F.concat(F.lit("two scores for row "), F.col("_at").cast("string"))).cast("boolean")
+    s = s.where(F.when(F.col("_times") > 1, twice).otherwise(True)).drop("_times")
+    return samples.join(s, samples[index] == F.col("_at")).drop("_at")
 
 
 def contract(full_sequence: Column, full_response: Column, cut_sequence: Column, cut_response: Column, sequence: Column, response: Column, n_scores: Column) -> tuple[Column, Column]:

@@ -24,20 +24,23 @@ def wrong_rank(parts: DataFrame, world: int, index: str = "source_index") -> Dat
 
 
 def merge(parts: list[DataFrame], index: str = "source_index") -> DataFrame:
-    """Union of parts with one row per index.  Equal repeats collapse; different ones fail."""
+    """Union of parts with one row per index.  Equal repeats collapse; different ones, by value, fail.
+
+    Least and greatest row of an index are compared as values, nulls and their
+    places included, so their types must have an order (no maps).
+    """
     rows = reduce(lambda a, b: a.unionByName(b), parts)
     values = [c for c in rows.columns if c != index]
-    packed = rows.select(index, F.struct(*values).alias("v"))
-    one = packed.groupBy(index).agg(F.min_by("v", F.xxhash64("v")).alias("v"), F.min(F.xxhash64("v")).alias("lo"), F.max(F.xxhash64("v")).alias("hi"))
+    one = rows.select(index, F.struct(*values).alias("v")).groupBy(index).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     fail = F.raise_error(F.concat(F.lit("conflicting results for index "), F.col(index).cast("string"))).cast("boolean")
-    return one.where(F.when(F.col("lo") != F.col("hi"), fail).otherwise(True)).select(index, *[F.col(f"v.{c}").alias(c) for c in values])
+    return one.where(F.when(~F.col("lo").eqNullSafe(F.col("hi")), fail).otherwise(True)).select(index, *[F.col("lo").getField(c).alias(c) for c in values])
 
 
 def conflicts(parts: list[DataFrame], index: str = "source_index") -> DataFrame:
     """Indices that come with different rows, and how many."""
     rows = reduce(lambda a, b: a.unionByName(b), parts)
     values = [c for c in rows.columns if c != index]
-    return rows.groupBy(index).agg(F.countDistinct(F.to_json(F.struct(*values))).alias("variants")).where("variants > 1")
+    return rows.select(index, F.struct(*values).alias("v")).distinct().groupBy(index).agg(F.count("*").alias("variants")).where("variants > 1")
 
 
 def pending(rows: DataFrame, *done: DataFrame, index: str = "source_index") -> DataFrame:
@@ -53,7 +56,7 @@ def combine(datasets: list[DataFrame]) -> DataFrame:
 
 def split(rows: DataFrame, share: float, key: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(train, validation) by a seeded hash of the key: the same split on every run and at every size."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
     return rows.where(draw >= share), rows.where(draw < share)
 
 

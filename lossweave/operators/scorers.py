@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
@@ -19,26 +20,44 @@ class Scorer(Protocol):
         """(one score per response position, sum of the targets' losses)."""
 
 
-def score_with(samples: DataFrame, build: Callable[[], Scorer], transform: str = "signed") -> DataFrame:
-    """Score rows of encoded samples by any model; a non-finite score fails the task, as a runtime error should."""
+SCORED = "source_index long, sample_id string, sequence_token_count int, response_token_count int, baseline_response_target_nll_sum double, token_scores array<double>"
+
+
+def score_each(samples: DataFrame, build: Callable[[], Scorer], transform: str = "signed", fail_fast: bool = False) -> DataFrame:
+    """Score rows of encoded samples by any model, with ``failure``: what went wrong with a sample, or null.
+
+    A failed sample has neither scores nor a sum and the others go on; with
+    ``fail_fast`` it fails the task.
+    """
+
+    def one(scorer, ids, r, t):
+        values, total = scorer(ids, r, t)
+        if len(values) != len(r) or not all(map(math.isfinite, (*values, total))):
+            raise RuntimeError("the scorer returned other than one finite score per response token")
+        return [max(0.0, float(x)) if transform == "positive" else float(x) for x in values], float(total), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = build()
         for batch in batches:
-            sums, scores = [], []
-            for ids, r, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                values, total = scorer(ids, r, t)
-                if len(values) != len(r) or not all(map(math.isfinite, (*values, total))):
-                    raise RuntimeError("the scorer returned other than one finite score per response token")
-                scores.append([max(0.0, float(x)) for x in values] if transform == "positive" else [float(x) for x in values])
-                sums.append(float(total))
-            ids, r = batch.column(2), batch.column(3)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) for x in ids.to_pylist()], pa.int32()), pa.array([len(x) for x in r.to_pylist()], pa.int32()), pa.array(sums, pa.float64()), pa.array(scores, pa.list_(pa.float64()))],
-                ["source_index", "sample_id", "sequence_token_count", "response_token_count", "baseline_response_target_nll_sum", "token_scores"])
-
-    rows = samples.select("source_index", "sample_id", "token_ids", "response_positions", "target_positions")
-    return rows.mapInArrow(run, "source_index long, sample_id string, sequence_token_count int, response_token_count int, baseline_response_target_nll_sum double, token_scores array<double>")
+            rows = []
+            for sample in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                try:
+                    rows.append(one(scorer, *sample))
+                except Exception as e:
+                    if fail_fast:
+                        raise
+                    rows.append((None, None, f"{type(e).__name__}: {e}"))
+            scores, sums, failures = zip(*rows, strict=True) if rows else ((), (), ())
+            sizes = [pc.list_value_length(batch.column(i)).cast(pa.int32()) for i in (2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sizes, pa.array(sums, pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(failures, pa.string())],
+                                             [x.split()[0] for x in f"{SCORED}, failure string".split(", ")])
+
+    return samples.select("source_index", "sample_id", "token_ids", "response_positions", "target_positions").mapInArrow(run, f"{SCORED}, failure string")
+
+
+def score_with(samples: DataFrame, build: Callable[[], Scorer], transform: str = "signed") -> DataFrame:
+    """Score rows of encoded samples by any model; one that it fails on fails the query."""
+    return score_each(samples, build, transform, True).drop("failure")
 
 
 def losses_scorer(losses: Callable[[list[int]], list[float]]) -> Callable[[], Scorer]:
@@ -106,14 +125,8 @@ def bigram_losses(tokens: DataFrame, sample: str, position: str, token: str = "t
     return pairs.join(table, ["before", token])
 
 
-def later_sum(values: Column) -> Column:
-    """For each position, the sum of the values after it: one backward pass, not a pair join."""
-    back = F.aggregate(F.reverse(values), F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out")), lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["out"], F.array(a["sum"])).alias("out")), lambda a: a["out"])
-    return F.reverse(back)
-
-
 def later_sums(tokens: DataFrame, sample: str, position: str, value: str, into: str = "later") -> DataFrame:
-    """The same over long samples, in rows: a suffix window that spills."""
+    """For each position of a sample, the sum of the values after it, in rows: a suffix window that spills."""
     w = Window.partitionBy(sample).orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, -1)
     return tokens.withColumn(into, F.coalesce(F.sum(value).over(w), F.lit(0.0)))
 

@@ -94,16 +94,27 @@ class Scoring:
     dtype: str = "bfloat16"
     overwrite: bool = False
     fail_fast: bool = False
+    model_dir: str = ""
+    device: str = "auto"
+    attn_implementation: str = "auto"
+    trust_remote_code: bool = False
+    #: Folder name from which on input and model paths count, whatever is mounted before it.
+    workspace: str | None = None
+    #: Lines whose scores become durable together; tasks that score them (None: as many as the input has).
+    chunk_rows: int = 1_000_000
+    partitions: int | None = None
+    #: One file instead of a folder of ordered parts; it passes through the driver.
+    single_file: bool = False
 
     def __post_init__(self):
         if not self.output.endswith(".jsonl"):
             raise ValueError("output must end in .jsonl")
-        if self.start_index < 0 or (self.limit is not None and self.limit <= 0):
-            raise ValueError("start_index must not be negative and limit must be positive")
+        if self.start_index < 0 or (self.limit is not None and self.limit < 0) or self.chunk_rows < 1:
+            raise ValueError("start_index and limit must not be negative, chunk_rows must be positive")
         if self.max_model_len < 2:
             raise ValueError("max_model_len must be at least 2")
-        if self.truncate_to_length is not None and not 0 < self.truncate_to_length < self.max_model_len:
-            raise ValueError("truncate_to_length must be positive and below max_model_len")
+        if self.truncate_to_length is not None and not 1 < self.truncate_to_length < self.max_model_len:
+            raise ValueError("truncate_to_length must be above 1 and below max_model_len")
         if self.method == "ablation" and (self.ablated_gate_value is None or not 0 <= self.ablated_gate_value < 1):
             raise ValueError("ablation needs ablated_gate_value in [0, 1)")
         if self.method == "entropy" and self.score_transform != "signed":
@@ -120,6 +131,17 @@ class Scoring:
             return f"value_gate_{gate}_future_response_target_nll_delta_{self.dtype}_{shape}_v2"
         return "response_content_token_negative_log_likelihood_v1"
 
+    @property
+    def scorer_kind(self) -> str:
+        return {"entropy": "token_nll", "gradient": "value_gradient", "ablation": "value_ablation"}[self.method]
+
+    @property
+    def score_semantics(self) -> str:
+        """What a score says, for the manifest."""
+        if self.method == "entropy":
+            return "per_response_content_token_negative_log_likelihood"
+        return f"{'signed' if self.score_transform == 'signed' else 'positive_clipped'}_first_order_response_target_nll_change"
+
 
 #: Training arguments under which token selection has no defined result.
 UNSUPPORTED = {"streaming": True, "packing": True, "neat_packing": True, "mask_history": True, "tokenized_path": ..., "eval_dataset": ...}

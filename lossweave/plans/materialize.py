@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,6 +13,9 @@ from lossweave.operators import alignment, merging, records, scorers, selection
 from lossweave.plans import provenance
 from lossweave.plans.config import Scoring, Selection
 from lossweave.sources import jsonl, publish
+from lossweave.sources.files import Files
+
+SCORED = ("source_index", *jsonl.SCORE_COLUMNS)
 
 
 def encoded_samples(spark: SparkSession, run: Scoring, encode: Encode, bos: int | None = None) -> DataFrame:
@@ -25,43 +29,76 @@ def encoded_samples(spark: SparkSession, run: Scoring, encode: Encode, bos: int
     return records.encode(talks, run.template, encode, bos, run.truncate_to_length, run.max_model_len)
 
 
+def _encoded_parts(spark: SparkSession, run: Scoring, encode: Encode, bos: int | None, parts: str, files: Files) -> DataFrame:
+    """Encoded samples and classified errors of the run's range, each encoded once, in folders of ``chunk_rows`` lines."""
+    at = f"{parts}/encoded"
+    if not files.exists(f"{at}/_SUCCESS"):
+        samples = encoded_samples(spark, run, encode, bos)
+        keep = ("source_index", "sample_id", "token_ids", "response_positions", "target_positions", "error_type", "error")
+        samples.select(*keep, F.expr(f"source_index div {run.chunk_rows}").alias("chunk")).write.mode("overwrite").partitionBy("chunk").parquet(at)
+    return spark.read.schema("source_index long, sample_id string, token_ids array<int>, response_positions array<int>, target_positions array<int>, error_type string, error string, chunk long").parquet(at)
+
+
 def score(spark: SparkSession, run: Scoring, encode: Encode, build: Callable[[], scorers.Scorer], bos: int | None = None) -> dict:
     """Score file, error file and manifest.
 
-    Parts of an earlier run with the same settings are kept: only rows without
-    a score or an error are scored.
+    Samples are encoded once and scored chunk by chunk; a chunk's scores are
+    durable as soon as they are written.  An earlier run with the same settings
+    is gone on with, whether it was cut off (its parts are kept) or finished
+    (its output is kept): only rows without a score are scored.  Settings that
+    differ are an error, as is an output without a manifest; ``overwrite`` starts
+    afresh.  A sample that the scorer fails on has no row and is counted as
+    ``failed_records`` in the result, for a later run to score; with
+    ``fail_fast`` it ends the run.
     """
-    import os
-
-    total = jsonl.lines(spark, run.input).count()
-    plan = provenance.manifest(run, total)
-    parts, note = provenance.sibling(run.output, "parts"), provenance.sibling(run.output, "parts") + "/plan.json"
+    files = Files(spark)
+    parts, errors, note = (provenance.sibling(run.output, x) for x in ("parts", "errors", "manifest"))
     if run.overwrite:
-        import shutil
-
-        for path in (run.output, provenance.sibling(run.output, "errors"), provenance.sibling(run.output, "manifest")):
-            if os.path.exists(path):
-                os.unlink(path)
-        shutil.rmtree(parts, ignore_errors=True)
-    if os.path.exists(note):
-        import json
-
-        with open(note) as f:
-            provenance.check_resume(json.load(f), plan)
-    os.makedirs(parts, exist_ok=True)
-    provenance.write_json(note, plan)
-    samples = encoded_samples(spark, run, encode, bos)
+        for path in (run.output, errors, note, parts):
+            files.delete(path)
+    for path in (run.output, errors, note):
+        files.recover(path)
+    total = jsonl.lines(spark, run.input).count()
+    plan = provenance.manifest(run, files, total)
+    before, bad_before = [], []
+    if files.exists(run.output):
+        if not files.exists(note):
+            raise ValueError(f"existing output has no manifest: {note}")
+        provenance.check_resume(json.loads(files.read(note)), plan, run.workspace)
+        if run.id_field is not None:
+            raise ValueError("an output whose ids are a field's values does not tell its rows' lines; pass overwrite")
+        before.append(jsonl.scores(spark, run.output).select(*SCORED))
+        before[0].write.format("noop").mode("overwrite").save()  # checked whole before any model is loaded
+    if files.exists(errors):
+        bad_before.append(jsonl.errors(spark, errors).select(*jsonl.ERROR_COLUMNS))
+    if files.exists(parts):
+        if not files.exists(f"{parts}/plan.json"):
+            raise ValueError(f"parts without their settings: {parts}")
+        provenance.check_resume(json.loads(files.read(f"{parts}/plan.json")), plan, run.workspace)
+    else:
+        files.write(f"{parts}/plan.json", json.dumps(plan))
+    samples = _encoded_parts(spark, run, encode, bos, parts, files)
     good, bad = records.split_errors(samples)
-    done = spark.read.schema(jsonl.SCORE_SCHEMA.replace("_source_index", "source_index").replace("_score_method", "score_method")).json(f"{parts}/scores") if os.path.exists(f"{parts}/scores") else None
-    todo = merging.pending(good, done) if done is not None else good
-    scored = scorers.score_with(todo, build, run.score_transform).withColumn("score_method", F.lit(run.score_method))
-    scored.write.mode("append").json(f"{parts}/scores")
-    whole = spark.read.schema(scored.schema).json(f"{parts}/scores")
-    out = publish.publish(merging.merge([whole]), bad, run.output, plan)
-    import shutil
-
-    shutil.rmtree(parts)
-    return out
+    chunks = range(plan["start_index"] // run.chunk_rows, -(-plan["end_index"] // run.chunk_rows)) if plan["end_index"] > plan["start_index"] else ()
+    for k in chunks:
+        at = f"{parts}/scores/chunk={k}"
+        if files.exists(f"{at}/_SUCCESS"):
+            continue
+        todo = good.where(F.col("chunk") == k)
+        todo = merging.pending(todo, *before) if before else todo
+        if run.partitions:
+            todo = todo.repartition(run.partitions)
+        scorers.score_each(todo, build, run.score_transform, run.fail_fast).write.mode("overwrite").parquet(at)
+    new = spark.createDataFrame([], f"{scorers.SCORED}, failure string, chunk long")
+    if chunks:
+        new = spark.read.schema(new.schema).option("basePath", f"{parts}/scores").parquet(f"{parts}/scores")
+        stray = F.raise_error(F.concat(F.lit("row of another part: "), F.col("source_index").cast("string"))).cast("boolean")
+        new = new.where(F.when(F.expr(f"source_index div {run.chunk_rows}") != F.col("chunk"), stray).otherwise(True))
+    failed = new.where("failure is not null").count()
+    out = publish.publish(
+        merging.merge([*before, new.where("failure is null").select(*SCORED)]), merging.merge([*bad_before, bad.select(*jsonl.ERROR_COLUMNS)]), run.output, plan, run.score_semantics, run.single_file)
+    files.delete(parts)
+    return out | ({"failed_records": failed} if failed else {})
 
 
 def count_matched_masks(nll: DataFrame, reference: DataFrame, strict: bool = True) -> DataFrame:
@@ -80,21 +117,18 @@ def mask_totals(masks: DataFrame) -> DataFrame:
     return masks.agg(F.count("*").alias("records"), F.sum("response_token_count").alias("response_tokens"), F.sum(zero).alias("masked"), (F.sum("response_token_count") - F.sum(zero)).alias("trained"), (F.sum(zero) / F.sum("response_token_count")).alias("mask_rate"))
 
 
-def materialize_masks(spark: SparkSession, nll: str, reference: str, output: str, expected: int | None = None, overwrite: bool = False) -> dict:
+def materialize_masks(spark: SparkSession, nll: str, reference: str, output: str, expected: int | None = None, overwrite: bool = False, single: bool = False) -> dict:
     """Mask file and manifest; a finished one of the same sources is used again."""
-    import json
-
-    if provenance.reusable(output, {"nll": nll, "reference": reference}, overwrite):
-        with open(provenance.sibling(output, "manifest")) as f:
-            return json.load(f)
-    masks = count_matched_masks(jsonl.scores(spark, nll), jsonl.scores(spark, reference))
-    publish.write_ordered(masks, f"{output}.dir")
+    files = Files(spark)
+    if provenance.reusable(files, output, {"nll": nll, "reference": reference}, overwrite):
+        return json.loads(files.read(provenance.sibling(output, "manifest")))
+    masks = count_matched_masks(jsonl.scores(spark, nll, strict=True), jsonl.scores(spark, reference, strict=True))
     totals = mask_totals(masks).first().asDict()
     if expected is not None and totals["records"] != expected:
         raise ValueError(f"{totals['records']} records, expected {expected}")
-    publish.single_file(f"{output}.dir", output)
-    done = {"method": "sequence_equal_count_lowest_nll", "nll": provenance.fingerprint(nll), "reference": provenance.fingerprint(reference), **totals}
-    provenance.write_json(provenance.sibling(output, "manifest"), done)
+    publish.write_ordered(masks, output, single=single)
+    done = {"method": "sequence_equal_count_lowest_nll", "nll": files.fingerprint(nll), "reference": files.fingerprint(reference), "score_semantics": "binary_train_mask; 0=ignore, 1=train", **totals}
+    files.write(provenance.sibling(output, "manifest"), json.dumps(done, indent=2))
     return done
 
 

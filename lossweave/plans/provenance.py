@@ -3,35 +3,37 @@
 from __future__ import annotations
 
 import json
-import os
-from pathlib import Path
 from typing import Any
 
-#: Settings that may differ between a run and the one it resumes.
+from lossweave.sources.files import Files
+
+#: Settings that may differ between a run and the one it resumes, and those that hold paths.
 TOLERATED = ("attn_implementation",)
+PATHS = ("input", "model_dir")
 
 
 def sibling(output: str, what: str) -> str:
     """Path beside an output: its errors, manifest or parts."""
-    p = Path(output)
-    return {"errors": str(p.with_name(f"{p.stem}.errors{p.suffix}")), "manifest": str(p.with_name(f"{p.stem}.manifest.json")), "parts": f"{output}.parts"}[what]
-
-
-def fingerprint(path: str) -> dict[str, Any]:
-    s = os.stat(path)
-    return {"path": str(Path(path).resolve()), "size": s.st_size, "mtime_ns": s.st_mtime_ns}
+    folder, slash, name = output.rpartition("/")
+    stem, dot, suffix = name.rpartition(".")
+    stem, suffix = (stem, f".{suffix}") if dot and stem else (name, "")
+    return {"errors": f"{folder}{slash}{stem}.errors{suffix}", "manifest": f"{folder}{slash}{stem}.manifest.json", "parts": f"{output}.parts"}[what]
 
 
-def manifest(scoring, total: int) -> dict[str, Any]:
+def manifest(scoring, files: Files, total: int) -> dict[str, Any]:
     """What fixes the meaning of a score file."""
-    source = fingerprint(scoring.input)
+    source = files.fingerprint(scoring.input)
     end = total if scoring.limit is None else min(total, scoring.start_index + scoring.limit)
-    return {
-        "input": source["path"], "input_size": source["size"], "input_mtime_ns": source["mtime_ns"], "template": scoring.template,
+    out = {
+        "input": source["path"], "input_size": source["size"], "input_mtime_ns": source["mtime_ns"], "model_dir": scoring.model_dir, "template": scoring.template,
         "messages_field": scoring.messages_field, "prompt_field": scoring.prompt_field, "response_field": scoring.response_field, "system_field": scoring.system_field, "id_field": scoring.id_field,
-        "score_method": scoring.score_method, "score_transform": scoring.score_transform, "max_model_len": scoring.max_model_len, "truncate_to_length": scoring.truncate_to_length,
-        "start_index": scoring.start_index, "end_index": end, "input_records": total,
+        "scorer_kind": scoring.scorer_kind, "score_method": scoring.score_method, "score_transform": scoring.score_transform,
+        "dtype": scoring.dtype, "device": scoring.device, "attn_implementation": scoring.attn_implementation, "trust_remote_code": scoring.trust_remote_code,
+        "max_model_len": scoring.max_model_len, "truncate_to_length": scoring.truncate_to_length, "start_index": scoring.start_index, "end_index": max(end, scoring.start_index), "total_records": total,
     }
+    if scoring.template == "gemma4":
+        out["response_format_contract"] = "native_thought_block"
+    return out
 
 
 def same_place(a: Any, b: Any, marker: str | None) -> bool:
@@ -44,36 +46,23 @@ def same_place(a: Any, b: Any, marker: str | None) -> bool:
 
 
 def differences(old: dict[str, Any], new: dict[str, Any], marker: str | None = None) -> dict[str, tuple[Any, Any]]:
-    return {k: (old.get(k), new.get(k)) for k in sorted(old.keys() | new.keys()) if not same_place(old.get(k), new.get(k), marker)}
+    """Settings of the new run that the old one does not share; paths count as equal beneath the marker folder."""
+    return {k: (old.get(k), v) for k, v in new.items() if old.get(k) != v and not (k in PATHS and same_place(old.get(k), v, marker))}
 
 
 def check_resume(old: dict[str, Any], new: dict[str, Any], marker: str | None = None) -> None:
-    """Fail if a run with other settings than ``old`` would add to its parts."""
+    """Fail if a run with other settings than ``old`` would add to its parts or output."""
     bad = {k: v for k, v in differences(old, new, marker).items() if k not in TOLERATED}
     if bad:
         raise ValueError(f"cannot resume: {', '.join(f'{k}: {a!r} -> {b!r}' for k, (a, b) in bad.items())}")
 
 
-def write_json(path: str, value: dict[str, Any]) -> None:
-    """Write beside, then rename, so that readers see all or nothing."""
-    tmp = f"{path}.tmp"
-    try:
-        with open(tmp, "w", encoding="utf-8") as f:
-            json.dump(value, f, ensure_ascii=False, indent=2, allow_nan=False)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(tmp, path)
-    finally:
-        if os.path.exists(tmp):
-            os.unlink(tmp)
-
-
-def reusable(output: str, sources: dict[str, str], overwrite: bool) -> bool:
+def reusable(files: Files, output: str, sources: dict[str, str], overwrite: bool) -> bool:
     """Whether a finished output of the same sources exists; one of others needs ``overwrite``."""
-    if overwrite or not os.path.exists(output):
+    if overwrite or not files.exists(output):
         return False
     path = sibling(output, "manifest")
-    old = json.loads(Path(path).read_text()) if os.path.exists(path) else {}
-    if all(old.get(k) == fingerprint(v) for k, v in sources.items()):
+    old = json.loads(files.read(path)) if files.exists(path) else {}
+    if all(old.get(k) == files.fingerprint(v) for k, v in sources.items()):
         return True
     raise FileExistsError(f"{output} exists with other sources; pass overwrite")

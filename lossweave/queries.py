@@ -150,11 +150,16 @@ for _name, _sql in {
     _add(f"q_template_{_name}", _sql)(_rendered(_name))
 
 
-@_add("q_native_thought", """SELECT doc_id, k = 0 AS ok FROM (SELECT doc_id, doc_id % 5 AS k FROM documents)""")
+@_add("q_native_thought", """WITH d AS (SELECT doc_id, doc_id % 6 AS k, coalesce(text, '') AS t, '<|channel>thought' || chr(10) AS o, '<channel|>' AS c FROM documents),
+x AS (SELECT doc_id, o, c, CASE k WHEN 0 THEN o || t || c || t WHEN 1 THEN ' ' || o || t || c WHEN 2 THEN o || t || c || t || o || t || c WHEN 3 THEN o || t || c || '<think>' || t WHEN 4 THEN o || t ELSE t END AS r FROM d)
+SELECT doc_id, starts_with(r, o) AND (length(r) - length(replace(r, o, ''))) / length(o) = 1 AND (length(r) - length(replace(r, c, ''))) / length(c) = 1 AND NOT contains(r, '<think>') AND NOT contains(r, '</think>') AS ok FROM x""")
 def q_native_thought(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).alias("k"))
-    block = T.THOUGHT_OPEN + "x" + T.THOUGHT_CLOSE
-    text = F.when(F.col("k") == 0, block + " y").when(F.col("k") == 1, " " + block).when(F.col("k") == 2, block + block).when(F.col("k") == 3, block + "<think>").otherwise("y")
+    """Blocks around the whole text: sound, after a space, twice, with foreign tags, open, absent."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 6).alias("k"), F.coalesce("text", F.lit("")).alias("t"))
+    t, opened, closed = F.col("t"), F.lit(T.THOUGHT_OPEN), F.lit(T.THOUGHT_CLOSE)
+    block = F.concat(opened, t, closed)
+    text = (F.when(F.col("k") == 0, F.concat(block, t)).when(F.col("k") == 1, F.concat(F.lit(" "), block)).when(F.col("k") == 2, F.concat(block, t, block))
+            .when(F.col("k") == 3, F.concat(block, F.lit("<think>"), t)).when(F.col("k") == 4, F.concat(opened, t)).otherwise(t))
     return d.select("doc_id", T.native_thought_ok(text).alias("ok"))
 
 
@@ -263,33 +268,37 @@ _add("q_positive_clip", f"WITH {_SC} SELECT conv_id, sum(greatest(x, 0)) AS tota
 
 
 def _thinking(spark, sf_dir):
-    """Responses with a reasoning block that is closed, open, absent, or closed before it opens."""
+    """Whole responses of every turn with a reasoning block that is closed, open, absent, or closed before it opens."""
     v = samples(spark, sf_dir).where("error is null")
-    a = F.get("turns", F.lit(0))["assistant"]
     k = F.col("conv_id") % 4
-    body = F.substring(a, 1, 30)
-    text = F.when(k == 0, F.concat(F.lit("ab<think>"), body, F.lit("</think>"), a)).when(k == 1, F.concat(F.lit("<think>"), body)).when(k == 2, a).otherwise(F.concat(F.lit("</think><think>"), body, F.lit("</think>x<think>y</think>")))
-    return v.select("conv_id", text.alias("text"))
+
+    def text(a):
+        return F.when(k == 0, F.concat(F.lit("ab<think>"), a, F.lit("</think>"), a)).when(k == 1, F.concat(F.lit("<think>"), a)).when(k == 2, a).otherwise(F.concat(F.lit("</think><think>"), a, F.lit("</think>x<think>y</think>")))
+
+    return v.select("conv_id", F.transform("turns", lambda t: text(t["assistant"])).alias("texts"))
 
 
 _THOUGHT = _E + """,
-th AS (SELECT conv_id, c[2].content AS a, substring(c[2].content, 1, 30) AS b FROM e WHERE error IS NULL),
-tt AS (SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN 'ab<think>' || b || '</think>' || a WHEN 1 THEN '<think>' || b WHEN 2 THEN a ELSE '</think><think>' || b || '</think>x<think>y</think>' END AS t FROM th),
-ts AS (SELECT conv_id, t, instr(t, '<think>') AS o FROM tt),
-tb AS (SELECT conv_id, t, CASE WHEN o > 0 THEN o + 7 END AS f, CASE WHEN o > 0 AND instr(substring(t, o + 7), '</think>') > 0 THEN o + 7 + instr(substring(t, o + 7), '</think>') - 1 WHEN o > 0 THEN length(t) + 1 END AS l FROM ts)"""
+th AS (SELECT conv_id, unnest(range(len(c) // 2)) AS turn, unnest(list_transform(list_filter(c, lambda x: x.role = 'assistant'), lambda x: x.content)) AS a FROM e WHERE error IS NULL),
+tt AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'ab<think>' || a || '</think>' || a WHEN 1 THEN '<think>' || a WHEN 2 THEN a ELSE '</think><think>' || a || '</think>x<think>y</think>' END AS t FROM th),
+ts AS (SELECT conv_id, turn, t, instr(t, '<think>') AS o FROM tt),
+tb AS (SELECT conv_id, turn, t, CASE WHEN o > 0 THEN o + 7 END AS f, CASE WHEN o > 0 AND instr(substring(t, o + 7), '</think>') > 0 THEN o + 7 + instr(substring(t, o + 7), '</think>') - 1 WHEN o > 0 THEN length(t) + 1 END AS l FROM ts)"""
 
 
-@_add("q_think_span", f"WITH {_THOUGHT} SELECT conv_id, CAST(coalesce(l - f, 0) AS INT) AS n, CASE WHEN l > f THEN CAST(f - 1 AS INT) END AS first FROM tb")
+@_add("q_think_span", f"WITH {_THOUGHT} SELECT conv_id, CAST(turn AS INT) AS turn, CAST(coalesce(l - f, 0) AS INT) AS n, CASE WHEN l > f THEN CAST(f - 1 AS INT) END AS first FROM tb")
 def q_think_span(spark, sf_dir):
-    v = _thinking(spark, sf_dir).withColumn("ids", CODE_POINTS(F.col("text")))
+    v = _thinking(spark, sf_dir).select("conv_id", F.posexplode("texts").alias("turn", "text")).withColumn("ids", CODE_POINTS(F.col("text")))
     v = v.withColumn("m", R.think_span(F.col("ids"), CODE_POINTS(F.lit(T.THINK_OPEN)), CODE_POINTS(F.lit(T.THINK_CLOSE))))
     at = F.array_position("m", F.lit(True)) - 1
-    return v.select("conv_id", R.count_true(F.col("m")).alias("n"), F.when(at >= 0, at.cast("int")).alias("first"))
+    return v.select("conv_id", "turn", R.count_true(F.col("m")).alias("n"), F.when(at >= 0, at.cast("int")).alias("first"))
 
 
-@_add("q_think_select", f"WITH {_THOUGHT}, x AS (SELECT conv_id, unnest(range(length(t))) AS i, f, l, length(t) AS n FROM tb) SELECT conv_id, CAST(max(n) AS INT) AS n_retained, CAST(count(*) FILTER (i >= f - 1 AND i < l - 1 AND (conv_id * 31 + i * 17) % 21 - 10 <= 0) AS INT) AS n_ignored FROM x GROUP BY conv_id")
+@_add("q_think_select", f"""WITH {_THOUGHT}, z AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM tb),
+x AS (SELECT conv_id, unnest(range(length(t))) AS i, base, f, l FROM z)
+SELECT conv_id, CAST(count(*) AS INT) AS n_retained, CAST(count(*) FILTER (i >= f - 1 AND i < l - 1 AND (conv_id * 31 + (base + i) * 17) % 21 - 10 <= 0) AS INT) AS n_ignored FROM x GROUP BY conv_id""")
 def q_think_select(spark, sf_dir):
-    v = _thinking(spark, sf_dir).select("conv_id", F.array(F.struct(F.lit("q").alias("user"), F.col("text").alias("assistant"))).alias("turns"), F.lit(None).cast("string").alias("system"))
+    turns = F.transform("texts", lambda t: F.struct(F.lit("q").alias("user"), t.alias("assistant")))
+    v = _thinking(spark, sf_dir).select("conv_id", turns.alias("turns"), F.lit(None).cast("string").alias("system"))
     v = v.select("conv_id", S.encoded_turns(F.col("turns"), F.col("system"), "qwen3_nothink", CODE_POINTS).alias("encoded"))
     out = selection.train_examples(_with_scores(v), ScopedSelection(ignore_zero_scores_only=True, score_file="-"), 1_000_000, CODE_POINTS)
     return out.select("conv_id", "n_retained", "n_ignored")
@@ -412,7 +421,7 @@ def q_max_samples(spark, sf_dir):
     return merging.first_rows(rows, 10)
 
 
-@_add("q_dataset_split")
+@_add("q_dataset_split", """SELECT conv_id, CASE WHEN CAST('0x' || substring(md5('42|' || conv_id), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) >= 0.2 THEN 'train' ELSE 'validation' END AS part FROM (SELECT DISTINCT conv_id FROM conversations)""")
 def q_dataset_split(spark, sf_dir):
     """Train and validation by a seeded hash: rows of both, marked."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id").distinct()
@@ -432,3 +441,6 @@ def q_arrow_scorer(spark, sf_dir):
     v = records.encode(v, "qwen3_nothink", CODE_POINTS, max_len=1 << 30).select(F.col("conv_id").alias("source_index"), F.col("conv_id").cast("string").alias("sample_id"), "token_ids", "response_positions", "target_positions")
     out = scorers.score_with(v, scorers.losses_scorer(lambda ids: [1.0] * len(ids)))
     return out.select("source_index", "sequence_token_count", "response_token_count", F.col("baseline_response_target_nll_sum").alias("nll"))
+
+
+from lossweave import file_queries  # noqa: E402, F401  (registers its queries here)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 SCORE_COLUMNS = ("sample_id", "sequence_token_count", "response_token_count", "baseline_response_target_nll_sum", "token_scores")
 SCORE_SCHEMA = "_source_index long, _score_method string, sample_id string, sequence_token_count int, response_token_count int, baseline_response_target_nll_sum double, token_scores array<double>"
+ERROR_COLUMNS = ("source_index", "line_number", "sample_id", "error_type", "error")
 ERROR_SCHEMA = "source_index long, line_number long, sample_id string, error_type string, error string"
 
 
@@ -69,12 +70,18 @@ def _increasing(rows: DataFrame, key: str, what: str) -> DataFrame:
     return marked.where(F.when(F.col("_before") >= F.col(key), fail.cast("boolean")).otherwise(True)).select(*rows.columns)
 
 
-def scores(spark: SparkSession, path: str, method: str | None = None, public: bool = True) -> DataFrame:
-    """Score rows in file order: index column ``source_index``, increasing; blank lines are skipped.
+def scores(spark: SparkSession, path: str, method: str | None = None, public: bool = True, strict: bool = False) -> DataFrame:
+    """Score rows in file order: index column ``source_index``, increasing.
 
-    A public file has no index column; it is then the decimal sample_id.
+    A public file has no index column; it is then the decimal sample_id.  Blank
+    lines are skipped; ``strict`` makes them errors and ends lines at \\n alone.
     """
-    rows = lines(spark, path).where(F.trim("value") != "")
+    rows = lines(spark, path, "\n" if strict else None)
+    if strict:
+        blank = F.raise_error(F.concat(F.lit("blank score row at line "), (F.col("line_index") + 1).cast("string"))).cast("boolean")
+        rows = rows.where(F.when(F.col("value").rlike("^\\s*$"), blank).otherwise(True))
+    else:
+        rows = rows.where(F.trim("value") != "")
     rows = rows.withColumn("s", F.from_json("value", SCORE_SCHEMA)).select("line_index", "s.*")
     index = F.coalesce("_source_index", F.try_to_number("sample_id", F.lit("99999999999999999")).cast("long")) if public else F.col("_source_index")
     bad = F.when(index.isNull(), "no index")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import shutil
+import json
 from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
-from lossweave.plans.provenance import sibling, write_json
-from lossweave.sources.jsonl import SCORE_COLUMNS
+from lossweave.plans.provenance import sibling
+from lossweave.sources.files import Files
+from lossweave.sources.jsonl import ERROR_COLUMNS, SCORE_COLUMNS
 
 
 def as_lines(rows: DataFrame, columns: tuple[str, ...] = SCORE_COLUMNS, order: str = "source_index") -> DataFrame:
@@ -17,48 +17,22 @@ def as_lines(rows: DataFrame, columns: tuple[str, ...] = SCORE_COLUMNS, order: s
     return rows.select(order, F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value")).orderBy(order).select("value")
 
 
-def write_ordered(rows: DataFrame, path: str, columns: tuple[str, ...] = SCORE_COLUMNS, order: str = "source_index") -> None:
-    """A folder of part files whose names sort in row order; replaces an older one only when all is written."""
-    staged = f"{path}.staged"
+def write_ordered(rows: DataFrame, path: str, columns: tuple[str, ...] = SCORE_COLUMNS, order: str = "source_index", single: bool = False) -> None:
+    """A folder of part files whose names sort in row order, or one file; replaces an older one only when all is written."""
+    files, staged = Files(rows.sparkSession), f"{path}.staged"
     as_lines(rows, columns, order).write.mode("overwrite").text(staged)
-    fs, at, to = _hadoop(rows, staged, path)
-    fs.delete(to, True)
-    if not fs.rename(at, to):
-        raise OSError(f"cannot rename {staged} to {path}")
-
-
-def _hadoop(rows: DataFrame, a: str, b: str):
-    jvm = rows.sparkSession._jvm
-    pa, pb = jvm.org.apache.hadoop.fs.Path(a), jvm.org.apache.hadoop.fs.Path(b)
-    return pa.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()), pa, pb
-
-
-def single_file(folder: str, path: str) -> None:
-    """Join a local folder of ordered parts to one file, by rename at the end."""
-    tmp = f"{path}.tmp"
-    try:
-        with open(tmp, "wb") as out:
-            for name in sorted(x for x in os.listdir(folder) if x.startswith("part-")):
-                with open(os.path.join(folder, name), "rb") as f:
-                    shutil.copyfileobj(f, out)
-            out.flush()
-            os.fsync(out.fileno())
-        os.replace(tmp, path)
-    finally:
-        if os.path.exists(tmp):
-            os.unlink(tmp)
-    shutil.rmtree(folder)
-
-
-def publish(good: DataFrame, bad: DataFrame, output: str, manifest: dict[str, Any]) -> dict[str, Any]:
-    """Score file, error file and manifest of a finished run."""
-    errors = sibling(output, "errors")
-    write_ordered(good, f"{output}.dir")
-    write_ordered(bad, f"{errors}.dir", ("source_index", "line_number", "sample_id", "error_type", "error"))
-    n = good.sparkSession.read.text(f"{output}.dir").count()
-    e = good.sparkSession.read.text(f"{errors}.dir").count()
-    single_file(f"{output}.dir", output)
-    single_file(f"{errors}.dir", errors)
-    done = manifest | {"output_records": n, "error_records": e, "score_semantics": "one score per response content token, in order"}
-    write_json(sibling(output, "manifest"), done)
+    if single:
+        files.join(staged, path)
+        files.delete(staged)
+    else:
+        files.swap(staged, path)
+
+
+def publish(good: DataFrame, bad: DataFrame, output: str, manifest: dict[str, Any], semantics: str, single: bool = False) -> dict[str, Any]:
+    """Score file, error file and, last, the manifest of a finished run."""
+    spark, errors = good.sparkSession, sibling(output, "errors")
+    write_ordered(good, output, single=single)
+    write_ordered(bad, errors, ERROR_COLUMNS, single=single)
+    done = manifest | {"output_records": spark.read.text(output).count(), "error_records": spark.read.text(errors).count(), "score_semantics": semantics}
+    Files(spark).write(sibling(output, "manifest"), json.dumps(done, ensure_ascii=False, indent=2, allow_nan=False))
     return done

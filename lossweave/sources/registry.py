@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lossweave.sources.files import Files
+
 SUFFIXES = (".json", ".jsonl")
 
 
@@ -25,25 +25,26 @@ def lookup(registry: dict[str, Any], names: list[str]) -> list[dict[str, Any]]:
     return out
 
 
-def load(path: str) -> dict[str, Any]:
-    return json.loads(Path(path).read_text())
+def load(spark: SparkSession, path: str) -> dict[str, Any]:
+    return json.loads(Files(spark).read(path))
 
 
-def files(path: str) -> list[str]:
+def files(spark: SparkSession, path: str) -> list[str]:
     """The file, or a folder's JSON and JSONL files by name."""
-    if not os.path.isdir(path):
+    names = Files(spark).names(path)
+    if names is None:
         return [path]
-    found = sorted(x for x in os.listdir(path) if x.endswith(SUFFIXES))
+    found = [f"{path.rstrip('/')}/{x}" for x in names if x.endswith(SUFFIXES)]
     if not found:
         raise FileNotFoundError(f"no {' or '.join(SUFFIXES)} files in {path}")
-    return [os.path.join(path, x) for x in found]
+    return found
 
 
 def rows(spark: SparkSession, path: str) -> DataFrame:
     """(row_index, record) of a dataset in file order: JSONL lines, or the elements of JSON arrays."""
     from lossweave.sources.jsonl import lines
 
-    found = files(path)
+    found = files(spark, path)
     if all(x.endswith(".jsonl") for x in found):
         out = lines(spark, found).where(F.trim("value") != "")
         return out.select(F.col("line_index").alias("row_index"), F.parse_json("value").alias("record"))

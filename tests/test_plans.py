@@ -1,17 +1,20 @@
 """Files, runs, merging and settings."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from lossweave.functions.templates import resolve
 from lossweave.functions.tokenizers import code_points
 from lossweave.operators import alignment, merging, scorers
 from lossweave.plans import provenance
 from lossweave.plans.config import ScopedSelection, Scoring, Selection, guard, load
 from lossweave.plans.materialize import materialize_masks, score, training_set
 from lossweave.sources import jsonl, registry
+from lossweave.sources.files import Files
 
 
 def losses():
@@ -37,7 +40,7 @@ def test_score_run_and_resume(spark, tmp_path):
     rows = [{"prompt": "question", "response": "answer"}, {"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}, {"role": "assistant", "content": "b"}]}, {"prompt": "p", "response": "rr", "id": "x1"}]
     src, out = tmp_path / "in.jsonl", tmp_path / "out.jsonl"
     src.write_text("\n".join(map(json.dumps, rows)) + "\n\n")
-    run = Scoring(str(src), str(out), template="qwen3_nothink")
+    run = Scoring(str(src), str(out), template="qwen3_nothink", single_file=True)
     done = score(spark, run, code_points(), losses)
     got = [json.loads(x) for x in out.read_text().splitlines()]
     assert [g["sample_id"] for g in got] == ["0", "2"] and list(got[0]) == list(jsonl.SCORE_COLUMNS)
@@ -49,7 +52,7 @@ def test_score_run_and_resume(spark, tmp_path):
     assert jsonl.errors(spark, str(tmp_path / "out.errors.jsonl")).count() == 2
 
     masks = tmp_path / "masks.jsonl"
-    one = materialize_masks(spark, str(out), str(out), str(masks), expected=2)
+    one = materialize_masks(spark, str(out), str(out), str(masks), expected=2, single=True)
     got = [json.loads(x) for x in masks.read_text().splitlines()]
     assert one["records"] == 2 and all(set(g["token_scores"]) <= {0.0, 1.0} for g in got)
     assert materialize_masks(spark, str(out), str(out), str(masks)) == json.loads((tmp_path / "masks.manifest.json").read_text())
@@ -62,6 +65,91 @@ def test_score_run_and_resume(spark, tmp_path):
     assert training_set(data, jsonl.scores(spark, str(masks)), Selection(score_file="x", ignore_zero_scores_only=True), "qwen3_nothink", code_points(), 1000, max_samples=1).count() == 1
 
 
+def lengths(path):
+    return {json.loads(x)["sample_id"]: json.loads(x)["response_token_count"] for p in sorted(path.glob("part-*")) for x in p.read_text().splitlines()}
+
+
+def test_a_cut_off_run_goes_on(spark, tmp_path):
+    """Chunks that were written stay; only the others are scored; other settings, or an output without a manifest, are errors."""
+    src, out, seen = tmp_path / "in.jsonl", tmp_path / "out.jsonl", tmp_path / "seen"
+    src.write_text("".join(json.dumps({"prompt": "p", "response": "r" * (i + 1)}) + "\n" for i in range(9)))
+    run = Scoring(str(src), str(out), template="qwen3_nothink", chunk_rows=4)
+
+    def watched(stop):
+        def build():
+            known = losses()
+
+            def one(ids, r, t):
+                if len(r) >= stop:
+                    raise RuntimeError("the model is gone")
+                with open(seen, "a") as f:
+                    f.write(f"{len(r)}\n")
+                return known(ids, r, t)
+
+            return one
+
+        return build
+
+    with pytest.raises(Exception, match="the model is gone"):
+        score(spark, replace(run, fail_fast=True), code_points(), watched(6))
+    assert not out.exists() and set(map(int, seen.read_text().split())) >= {1, 2, 3, 4}
+    with pytest.raises(ValueError, match="cannot resume"):
+        score(spark, replace(run, max_model_len=99), code_points(), losses)
+    seen.write_text("")
+    assert score(spark, run, code_points(), watched(9))["failed_records"] == 1
+    assert set(map(int, seen.read_text().split())) == {5, 6, 7, 8} and lengths(out) == {str(i): i + 1 for i in range(8)}
+    seen.write_text("")
+    done = score(spark, run, code_points(), watched(99))
+    assert seen.read_text().split() == ["9"] and "failed_records" not in done and lengths(out) == {str(i): i + 1 for i in range(9)}
+    with pytest.raises(ValueError, match="cannot resume"):
+        score(spark, replace(run, limit=5), code_points(), losses)
+    assert score(spark, replace(run, limit=0, overwrite=True), code_points(), losses)["output_records"] == 0
+    (tmp_path / "out.manifest.json").unlink()
+    with pytest.raises(ValueError, match="no manifest"):
+        score(spark, run, code_points(), losses)
+
+
+def test_files_swap_and_recover(spark, tmp_path):
+    files, path = Files(spark), f"file://{tmp_path}/a.json"
+    files.write(path, '"é"')
+    files.write(path, "2")
+    assert files.read(path) == "2" and files.names(f"file://{tmp_path}") == ["a.json"] and files.names(path) is None
+    files.rename(path, f"{path}.old")
+    files.recover(path)
+    assert files.read(path) == "2" and files.fingerprint(path)["size"] == 1
+    with pytest.raises(Exception):
+        files.swap(f"{path}.missing", path)
+    assert files.read(path) == "2"
+
+
+def test_mask_inputs_are_strict(spark, tmp_path):
+    row = json.dumps({"sample_id": "0", "sequence_token_count": 2, "response_token_count": 1, "baseline_response_target_nll_sum": 0.5, "token_scores": [0.5]})
+    path = tmp_path / "s.jsonl"
+    path.write_text(row + "\n\n" + row.replace('"0"', '"1"') + "\n")
+    assert jsonl.scores(spark, str(path)).count() == 2
+    with pytest.raises(PySparkException, match="blank score row at line 2"):
+        jsonl.scores(spark, str(path), strict=True).collect()
+
+
+def test_templates_are_resolved(tmp_path):
+    model = tmp_path / "run7" / "checkpoint-20"
+    model.mkdir(parents=True)
+    kind = lambda k: (model / "config.json").write_text(json.dumps({"model_type": k}))
+    for k, want in (("codellama", "llama3"), ("gemma3", "gemma3"), ("gemma4_text", "gemma4"), ("mimo", "mimo"), ("qwen2", "qwen3_nothink"), ("qwen3", "qwen3_nothink")):
+        kind(k)
+        assert resolve(str(model)) == want
+    assert resolve(str(model), input_path="/data/OpenMath.jsonl") == "qwen3"
+    (tmp_path / "configs" / "selective").mkdir(parents=True)
+    (tmp_path / "configs" / "selective" / "run7.yml").write_text("template: mimo  # a remark\n")
+    assert resolve(str(model), configs=str(tmp_path / "configs")) == "mimo"
+    (model / "training_template.json").write_text('{"training_template": "gemma3"}')
+    assert resolve(str(model), configs=str(tmp_path / "configs")) == "gemma3" and resolve(str(model), "llama3") == "llama3"
+    (model / "training_template.json").unlink()
+    kind("other")
+    with pytest.raises(ValueError):
+        resolve(str(model))
+
+
 def test_order_is_checked(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(jsonl, "BLOCK", 3)
     row = lambda i: json.dumps({"sample_id": str(i), "sequence_token_count": 2, "response_token_count": 1, "baseline_response_target_nll_sum": 0.5, "token_scores": [0.5]})
@@ -82,7 +170,6 @@ def test_scorers(spark):
     assert ablate([0] * 5, [2, 3, 4], [2, 3, 4]) == ([-2.0, 1.0, 0.0], 6.0)
     d = spark.createDataFrame([([1e16, 1.0, -1e16],)], "v array<double>")
     assert d.select(scorers.exact_sum("v")).first()[0] == 1.0
-    assert d.select(scorers.later_sum(F.array(F.lit(1.0), F.lit(2.0), F.lit(4.0)))).first()[0] == [6.0, 4.0, 0.0]
     with pytest.raises(ValueError):
         scorers.scorer("other")
 
@@ -98,6 +185,12 @@ def test_merging(spark):
     assert [(r.source_index, r.variants) for r in merging.conflicts([a, b, bad]).collect()] == [(4, 2)]
     with pytest.raises(PySparkException):
         merging.merge([a, bad]).collect()
+    moved = [spark.createDataFrame([(1, *r)], "source_index long, x string, y array<double>") for r in (("a", None), (None, None), ("a", [1.0, None]), ("a", [None, 1.0]))]
+    for i, one in enumerate(moved):
+        assert merging.merge([one, one]).count() == 1
+        for other in moved[:i]:
+            with pytest.raises(PySparkException, match="conflicting"):
+                merging.merge([one, other]).collect()
     assert [r.source_index for r in merging.pending(a, b).orderBy("source_index").collect()] == [0, 2]
     assert merging.wrong_rank(merging.shard(a, 2).withColumn("rank", F.lit(1)), 2).count() == 3
 
@@ -111,6 +204,8 @@ def test_attach_rejects_foreign_scores(spark):
             alignment.attach(rows, s.withColumn("sample_id", F.lit(bad))).collect()
     with pytest.raises(ValueError):
         alignment.attach(rows, s.drop("token_scores"))
+    with pytest.raises(PySparkException, match="two scores for row 1"):
+        alignment.attach(rows, s.union(s.where("sample_id = '1'"))).collect()
 
 
 def test_settings(tmp_path):
@@ -129,8 +224,10 @@ def test_settings(tmp_path):
         guard({"packing": True})
     guard({"stage": "sft"})
     assert Scoring("a", "b.jsonl", method="ablation", ablated_gate_value=0.5, dtype="float32").score_method == "value_gate_0p5_future_response_target_nll_delta_float32_signed_raw_v2"
-    with pytest.raises(ValueError):
-        Scoring("a", "b.txt")
+    for bad in ({"output": "b.txt"}, {"limit": -1}, {"truncate_to_length": 1}, {"truncate_to_length": 100, "max_model_len": 100}):
+        with pytest.raises(ValueError):
+            Scoring(**{"input": "a", "output": "b.jsonl", **bad})
+    Scoring("a", "b.jsonl", limit=0, truncate_to_length=2)
     old = {"input": "/mnt/a/work/x", "n": 1, "attn_implementation": "e"}
     provenance.check_resume(old, {"input": "/data/work/x", "n": 1, "attn_implementation": "f"}, "work")
     with pytest.raises(ValueError):
