@@ -279,6 +279,28 @@ def test_ego_join(spark):
     ego_join.BLOCK, ego_join.LEAF = 512, 128
 
 
+@pytest.mark.parametrize("interval,together", [(64, 256), (3, 2), (1, 1)])
+def test_ego_join_in_double_precision(spark, monkeypatch, interval, together):
+    """Doubles whose cosines lie within 2e-8 of the threshold keep their links; intervals and tasks change nothing."""
+    for name, value in (("BLOCK", 16), ("LEAF", 4), ("INTERVAL", interval), ("TOGETHER", together)):
+        monkeypatch.setattr(ego_join, name, value)
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(60):
+        u = rng.normal(size=5)
+        w = rng.normal(size=5)
+        u /= np.linalg.norm(u)
+        w -= (w @ u) * u
+        w /= np.linalg.norm(w)
+        c = 0.93 + rng.uniform(-2e-8, 2e-8)
+        rows += [(2 * i, (u * 3).tolist(), 0), (2 * i + 1, (c * u + np.sqrt(1 - c * c) * w).tolist(), 0)]
+    got = {r.vec_id: r for r in ego_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    x = [np.array(r[1]) for r in rows]
+    links = [(i, j) for i, j in itertools.combinations(range(len(x)), 2) if x[i] @ x[j] / (np.sqrt(x[i] @ x[i]) * np.sqrt(x[j] @ x[j])) >= 0.93]
+    count, root = Counter(k for link in links for k in link), groups(range(len(x)), links)
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (count[i], root[i]) for i in range(len(x))}
+
+
 def test_language(spark):
     rng = random.Random(9)
     kinds = {"aa": "the of and to in is that".split(), "bb": "der die und ist nicht ein zu".split(), "ru": "и в не на что он как".split()}
