@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lossweave.llm.staging import stage
+from lossweave.llm.staging import drop, stage
 
 #: Ids in a row.
 ROW = 4096
@@ -263,6 +263,7 @@ def pack(docs: DataFrame, doc: str = "doc_id", text: str = "text", row: int = RO
     # Equal rows differ by their tie alone: they may stand for each other, and a range may be cut between them.
     order = [F.col("n") % row, "doc", F.xxhash64("ids"), "tie"]
     ordered = stage(ids.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("tie").mapInArrow(_number(row), "doc long, width int, n long, ids binary, task long, at long, full long"), "ordered")
+    drop(ids)
     runs = ordered.groupBy("task", (F.col("n") % row).alias("size")).agg(F.count("*").alias("rows"), F.min("at").alias("first"), F.sum(F.expr(f"n div {row}")).alias("full")).orderBy("task", "size").toArrow()
     task, size, rows, first, full = (runs[c].to_numpy().astype(np.int64) for c in ("task", "size", "rows", "first", "full"))
     counts = np.zeros(row, np.int64)

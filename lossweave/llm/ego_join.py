@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lossweave.llm.graph import components, forest
-from lossweave.llm.staging import stage
+from lossweave.llm.staging import drop, stage
 
 #: Leading axes of the grid, vectors of a block, of a leaf of the recursion, and of the axes' sample.
 AXES, BLOCK, LEAF, SAMPLE = 6, 512, 128, 4096
@@ -296,6 +296,7 @@ def near_duplicates(vectors: DataFrame, vec: str = "vec_id", embedding: str = "e
     both = stage(needs, "needs").join(blocks.select("task", "number", "n", "lo", "hi", "blob"), ["task", "number"])
     found = both.groupBy("run", "with").applyInArrow(_join(axes, cosine, eps, kind), "rep long, links long, root long")
     found = stage(found, "links")
+    drop(blocks, runs)
     comp = components(found.where("rep <> root"), "rep", "root")
     info = classes.select("label", "k1", "k2", "rep", "copies").join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
     info = info.where("copies > 1 or links is not null").select("label", "k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"), F.lit(True).alias("is"))

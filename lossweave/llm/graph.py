@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lossweave.llm.staging import stage
+from lossweave.llm.staging import drop, stage
 
 EDGE = "hi long, lo long"
 
@@ -64,8 +64,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     spark = edges.sparkSession
     e = edges.select(F.col(a).cast("long").alias("hi"), F.col(b).cast("long").alias("lo")).where("hi is not null and lo is not null and hi <> lo")
     e = e.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).mapInArrow(contract, EDGE)
+    before = None
     while True:
         stars = stage(e.repartition("hi").mapInArrow(contract, EDGE).distinct(), "edges")
+        if before is not None:
+            drop(before)
+        before = stars
         above = stars.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("top"), F.max("lo").alias("most"))
         if above.where("top <> most").isEmpty() and stars.join(above, "lo", "left_semi").isEmpty():
             break

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lossweave.llm import textkernels as K
-from lossweave.llm.staging import stage
+from lossweave.llm.staging import drop, stage
 
 #: Buckets, and tokens of a batch with its padding.
 BUCKETS, BUDGET = 16, 65_536
@@ -97,6 +97,7 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = ["bucket", "doc", "n", *(F.xxhash64(c) for c in carried)]
     ordered = stage(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ordered")
+    drop(lens)
     part = F.shiftright("at", 33).alias("part")
     runs = ordered.groupBy("bucket", part).agg(F.count("*").alias("rows"), F.min("at").alias("first"))
     before = "sum(rows) over (partition by bucket order by part rows between unbounded preceding and 1 preceding)"

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lossweave.llm import textkernels as K
 from lossweave.llm.length_buckets import word_lengths
+from lossweave.llm.staging import repeatable
 from lossweave.llm.superkmer import _framed, _open, _slices, _texts, _unframed
 
 #: Longest n-gram, factor of each backing off, and distinct n-grams of a count partition (about).
@@ -97,7 +98,7 @@ def _answer(bits: int):
 def _score(bits: int, order: int, alpha: float, tokens: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            raise RuntimeError("documents changed between two reads; stage the input of this operator first")
+            raise RuntimeError("documents changed between two reads")
         out = []
         by_part = np.argsort(answers["part"].to_numpy(), kind="stable") if answers.num_rows else []
         for k, row in enumerate(texts.to_pylist()):
@@ -151,7 +152,7 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", order: int =
     documents of their own and see each other.  Empty tables give no rows;
     extra columns are ignored.  Counts are held by 64-bit fingerprint.
     """
-    d = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
+    d = repeatable(docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")), "documents")
     tokens = word_lengths(d, "doc", "text").agg(F.sum("n")).first()[0] or 0
     bits = max(2, (order * tokens // PARTITION).bit_length())
     asked = d.mapInArrow(_ask(bits, order), "part int, slice long, blob binary")

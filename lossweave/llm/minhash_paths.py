@@ -5,9 +5,11 @@ group of exact copies costs one row.  Each class carries a vector of minwise
 tokens.  In several independent trees, classes branch into nodes by the tokens
 at coordinates that the node's own path chooses (1 / similarity branches on
 average, so two similar classes keep meeting); a node that is small enough is
-compared exhaustively, a larger one branches again.  Nodes that stay large down
-to the last level are compared exhaustively too, in pairs of blocks.  The deeper
-nodes lie, the more trees the classes of large nodes get.
+compared exhaustively, a larger one branches again.  The deeper nodes lie, the
+more trees the classes of large nodes get.  Nodes that stay large down to the
+last level are cut into blocks, which are compared within.  What that leaves in
+different components is compared across blocks: those of one component never
+meet each other, so that work follows what is unresolved, not a node's square.
 
 Candidates are confirmed on full shingle sets.  First each class is confirmed
 against its most similar partner in the node.  Where these links leave
@@ -18,6 +20,7 @@ the node, which compares them all and sends a forest of the links it finds.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -313,6 +316,36 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: int)
     return links
 
 
+def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return rows.join(comp, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
+
+
+def _unresolved(heap: DataFrame, half: int) -> DataFrame:
+    """Rows of large nodes for all pairs of blocks that may hold a link between components: (path, block, rep, n, sig, comp).
+
+    A component of ``half`` rows or more has blocks of its own, all others share
+    blocks.  Shared blocks meet all blocks of their node, a large component's meet
+    those of other large components; a row is copied as often as its block meets
+    one.  Two blocks of one component do not meet.
+    """
+    sizes = heap.groupBy("path", "comp").agg(F.count("*").alias("rows"))
+    shared = sizes.where(F.col("rows") < half).groupBy("path").agg(F.sum("rows").alias("shared"))
+    rows = heap.join(sizes, ["path", "comp"]).join(shared, "path", "left").withColumn("large", F.col("rows") >= half)
+    number = F.when(F.col("large"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("rows") / half))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("shared") / half)))
+    rows = rows.withColumn("at", F.struct("large", F.when(F.col("large"), F.col("comp")).alias("of"), number.alias("number")))
+    blocks = rows.select("path", "at").distinct()
+    mixed, own = blocks.where("not at.large").withColumnRenamed("at", "a"), blocks.where("at.large")
+    meet = mixed.join(blocks.withColumnRenamed("at", "b"), "path").where("b.large or a.number <= b.number").select("path", "a", "b")
+    large = own.select("path", F.col("at.of").alias("of")).distinct()
+    two = large.withColumnRenamed("of", "one").join(large.withColumnRenamed("of", "other"), "path").where("one < other")
+    side = lambda name, to: own.select("path", F.col("at.of").alias(name), F.col("at").alias(to))
+    meet = meet.union(two.join(side("one", "a"), ["path", "one"]).join(side("other", "b"), ["path", "other"]).select("path", "a", "b"))
+    name, same = F.xxhash64("path", "a", "b"), F.col("a") == F.col("b")
+    ends = F.when(same, F.array(F.struct(F.col("a").alias("at"), F.lit(0).alias("block")))).otherwise(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("block")), F.struct(F.col("b").alias("at"), F.lit(2).alias("block"))))
+    asked = meet.select("path", name.alias("meeting"), F.explode(ends).alias("e")).select("path", "meeting", "e.at", "e.block")
+    return rows.select("path", "at", "rep", "n", "sig", "comp").join(asked, ["path", "at"]).select(F.col("meeting").alias("path"), "block", "rep", "n", "sig", "comp")
+
+
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 5, similarity: int = 80, trees: int = TREES, node: int = NODE, levels: int = LEVELS) -> DataFrame:
     """(doc, n_shingles, component_id, kept) per document row.
 
@@ -327,38 +360,44 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", sh
     signed = stage(d.mapInArrow(signer(shingle), _SIGNED), "signed")
     classes = stage(signed.where("n > 0 and doc is not null").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
     p = similarity / 100
-    parts, some, heavy, done, want = [], classes, None, 0, trees_for(1, p, trees)
+    parts, heaps, some, heavy, done, want = [], [], classes, None, 0, trees_for(1, p, trees)
+    spent: list[DataFrame] = []  # staged tables that nothing reads once the components are known
+    half = max(1, node // 2)
     while done < want:
         # Light rows first: most paths hold one class and go before tokens are attached.
         light = stage(some.select("rep", "sig").mapInArrow(_roots(p, range(done, want)), "path long, rep long").distinct(), "paths")
         sizes = light.groupBy("path").count().where("count > 1")
+        spent.append(light)
         rows = light.join(sizes, "path").join(some.select("rep", "n", "sig"), "rep").select("path", "rep", "n", "sig", F.col("count").alias("size"))
         for level in range(levels):
             rows = stage(rows, "nodes")
+            spent.append(rows)
             parts.append(rows.where(F.col("size") <= node).select("path", F.lit(0).alias("block"), "rep", "n", "sig"))
             large = rows.where(F.col("size") > node).select("path", "rep", "n", "sig")
             if large.isEmpty():
                 break
             if done == 0 and level == 0:
                 heavy = large
-            if level == levels - 1:  # still large: all pairs of blocks of about half a node
-                blocks = F.ceil(F.col("size") / (node // 2)).cast("int")
-                cut = rows.where(F.col("size") > node).withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-                cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-                lo, hi = F.least("own", "other"), F.greatest("own", "other")
-                parts.append(cut.select(F.xxhash64("path", lo, hi).alias("path"), F.when(lo == hi, 0).when(F.col("own") == lo, 1).otherwise(2).alias("block"), "rep", "n", "sig"))
+            if level == levels - 1:
+                heaps.append(rows.where(F.col("size") > node).select("path", "rep", "n", "sig", "size"))
                 break
             child = stage(large.mapInArrow(_branches(p), "path long, rep long, n long, sig binary").dropDuplicates(["path", "rep"]), "children")
+            spent.append(child)
             rows = child.join(child.groupBy("path").count().where("count > 1"), "path").select("path", "rep", "n", "sig", F.col("count").alias("size"))
         done, want = want, trees_for(level + 1, p, want)
         if done < want and some is classes:  # only classes of nodes that branched can have parted this deep
             some = stage(classes.join(heavy.select("rep").distinct(), "rep", "left_semi"), "heavy")
-    nodes = parts[0]
-    for part in parts[1:]:
-        nodes = nodes.union(part)
+            spent.append(some)
+    nodes, heap = reduce(DataFrame.union, parts), reduce(DataFrame.union, heaps) if heaps else None
+    own = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / half))
 
     def candidates(comp: DataFrame | None) -> DataFrame:
-        n = nodes.withColumn("comp", F.col("rep")) if comp is None else nodes.join(comp, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
+        if comp is None:
+            n = nodes if heap is None else nodes.union(heap.select(F.xxhash64("path", own), F.lit(0), "rep", "n", "sig"))
+            n = n.withColumn("comp", F.col("rep"))
+        else:
+            n = _with_component(nodes, comp)
+            n = n if heap is None else n.unionByName(_unresolved(stage(_with_component(heap, comp), "heaps"), half))
         n = n.select("path", "block", "rep", "n", "sig", "comp").repartition("path").sortWithinPartitions("path")
         return n.mapInArrow(_pairs(similarity, comp is not None), "a long, b long" if comp is None else "path long, rep long, n long, comp long")
 
@@ -372,6 +411,8 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", sh
         drop(sets)
         if not more.isEmpty():
             comp = stage(components(links.union(more), "a", "b"), "components")
+        spent.append(more)
+    drop(*spent, links, rest)
     moved = classes.join(comp, F.col("rep") == F.col("node"), "left").where("copies > 1 or component is not null")
     moved = moved.select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc", "n", "k1", "k2").join(moved, ["k1", "k2", "n"], "left")

@@ -8,6 +8,7 @@ A staged table cuts lineage and survives lost executors, unlike a cache.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -52,11 +53,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a staged table that nothing will read again."""
-    path = getattr(df, "_staged_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at.getParent(), True)
+def repeatable(df: DataFrame, name: str) -> DataFrame:
+    """df for operators that read it twice and need the same rows in the same tasks.
 
+    Files and driver rows are read alike each time.  What a shuffle, a sample, a
+    cached table or Python code makes may come in another order, so it is staged.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return stage(df, name) if re.search(r"Exchange|Sample|InMemoryTableScan|Arrow|Python|Pandas|Join|Aggregate|Window|Coalesce", plan) else df
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in frames:
+        path = getattr(df, "_staged_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at.getParent(), True)

@@ -7,7 +7,12 @@ there while neighbouring windows share their words on the way.  In the bucket,
 windows are sorted by hash, compared byte by byte, and get the smallest id of a
 document in which they start.
 
-Documents are read in slices of a few megabytes.  Equal super-k-mers of a slice
+Buckets are as many as the text asks for.  A minimiser of very many windows
+would fill one bucket by itself: such ones are found by counts in a sample of
+documents, and their windows go to buckets by a longer minimiser.  The sample
+steers only where windows meet, never what is found.
+
+Documents are read in slices of a few megabytes, of more in a very large corpus.  Equal super-k-mers of a slice
 are merged before they travel, so a passage that a third of all documents share
 sends one row per slice, not per document.  Only windows that start in an
 earlier document are answered, to the slice, which marks its own occurrences.
@@ -23,13 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lossweave.llm import textkernels as K
-from lossweave.llm.staging import stage
-
-#: Words of a window, adjacent words of a minimiser, bytes of text of a slice and of a bucket.
-WINDOW, MINIMISER, SLICE, BUCKET = 13, 3, 4_000_000, 8_000_000
-
-_BLOB = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("blob", pa.binary())])
-_ANSWER = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("item", pa.binary()), ("shift", pa.binary()), ("least", pa.binary())])
+from lossweave.llm.staging import repeatable, stage
+
+#: Words of a window, adjacent words of a minimiser and of the longer one, bytes of text of a slice and of a bucket.
+WINDOW, MINIMISER, LONGER, SLICE, BUCKET = 13, 3, 8, 4_000_000, 8_000_000
+#: Slices that a corpus has before they grow, and the largest slice: a passage that all slices hold sends one row from each to its bucket.
+SLICES, LARGEST = 500_000, 32_000_000
+#: Share of documents in which minimisers are counted, and bytes of super-k-mers from which on one is split.
+#: At these, one that is just split is seen about 3,500 times in the sample, whatever the corpus.
+SHARE, HOT = 1 / 500, 32_000_000
+
+_BLOB = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("blob", pa.binary())])
+_ANSWER = pa.schema([("slice", pa.int64()), ("bucket", pa.int64()), ("item", pa.binary()), ("shift", pa.binary()), ("least", pa.binary())])
 _TEXT = pa.schema([("slice", pa.int64()), ("doc", pa.binary()), ("nulls", pa.binary()), ("blob", pa.binary()), ("off", pa.binary())])
 _OUT = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
@@ -57,8 +67,19 @@ def _unframed(blob: bytes, kinds: tuple) -> list[np.ndarray]:
     return out
 
 
-def _cut(data: np.ndarray, off: np.ndarray, buckets: int, window: int):
-    """Super-k-mers of a slice: (document, first word, number of windows, bucket), with the slice's words."""
+def _least(hashes: np.ndarray, at: np.ndarray, size: int, window: int) -> np.ndarray:
+    """The smallest hash of ``size`` adjacent words in each window."""
+    low = hashes[at]
+    for s in range(1, window - size + 1):
+        np.minimum(low, hashes[at + s], out=low)
+    return low
+
+
+def _cut(data: np.ndarray, off: np.ndarray, buckets: int, window: int, hot: np.ndarray | None = None):
+    """Super-k-mers of a slice: (document, first word, number of windows, bucket), with the slice's words.
+
+    Windows whose minimiser is among the ``hot`` ones (sorted) go by their longer minimiser.
+    """
     starts, ends, first = K.words(data, off)
     value = K.slice_hashes(data, starts, ends)
     count = np.diff(first)
@@ -68,10 +89,11 @@ def _cut(data: np.ndarray, off: np.ndarray, buckets: int, window: int):
     if not len(at):
         zero = np.zeros(0, np.int64)
         return starts, ends, first, value, zero, zero, zero, zero
-    m = K.window_hashes(value, MINIMISER)
-    low = m[at]
-    for s in range(1, window - MINIMISER + 1):
-        np.minimum(low, m[at + s], out=low)
+    low = _least(K.window_hashes(value, min(MINIMISER, window)), at, min(MINIMISER, window), window)
+    if hot is not None and len(hot):
+        many = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low)
+        longer = min(LONGER, window)
+        low[many] = K.mix(_least(K.window_hashes(value, longer), at[many], longer, window), 32)
     new = np.ones(len(at), bool)
     new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
     head = np.flatnonzero(new)
@@ -107,9 +129,9 @@ def _merged(data, starts, ends, value, word, size, bucket, window):
 
 def _slices(batches: Iterator[pa.RecordBatch], size: int = SLICE):
     """(slice id, document ids, null ids, bytes, offsets); the id is a hash of all it holds."""
-    for batch in batches:
+    for batch in _gathered(batches, size):
         data, off = K.utf8(batch.column(1))
-        doc = batch.column(0).cast(pa.int64())
+        doc = batch.column(0).combine_chunks().cast(pa.int64())
         nulls = np.array(doc.is_null())
         doc = doc.fill_null(np.iinfo(np.int64).max).to_numpy()
         for i, j in K.slices(off, size):
@@ -119,10 +141,57 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int = SLICE):
             yield int.from_bytes(seal.digest(), "little", signed=True), doc[i:j], nulls[i:j], d, o
 
 
-def _send(buckets: int, window: int):
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Batches, put together until they hold a slice."""
+    held, weight = [], 0
+    for batch in batches:
+        held.append(batch)
+        weight += batch.column(1).nbytes
+        if weight >= size:
+            yield pa.Table.from_batches(held)
+            held, weight = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _common(window: int, least: int):
+    """Minimisers of the sampled texts of a task with their windows; rare ones of a task are left out."""
+
+    def run(batches):
+        seen, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            data, off = K.utf8(batch.column(0))
+            for i, j in K.slices(off, SLICE):
+                starts, ends, first = K.words(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                windows = np.maximum(np.diff(first) - window + 1, 0)
+                at = np.repeat(first[:-1], windows) + K.ranges(windows)
+                if not len(at):
+                    continue
+                value = K.slice_hashes(data[off[i] : off[j]], starts, ends)
+                low, n = np.unique(_least(K.window_hashes(value, min(MINIMISER, window)), at, min(MINIMISER, window), window), return_counts=True)
+                seen, where = np.unique(np.concatenate([seen, low]), return_inverse=True)
+                times = np.bincount(where, weights=np.concatenate([times, n])).astype(np.int64)
+        kept = times >= least
+        yield pa.RecordBatch.from_arrays([pa.array(seen[kept].view(np.int64)), pa.array(times[kept])], ["minimiser", "n"])
+
+    return run
+
+
+def _hot(d: DataFrame, window: int, size: int) -> np.ndarray:
+    """Minimisers expected to fill more than HOT bytes, sorted: at most 3 * size / HOT of them, as super-k-mers take 3 times the text."""
+    every = 18  # bytes that a window adds to its bucket, about
+    need = max(2, int(HOT / every * SHARE))
+    if size * 3 < HOT:
+        return np.zeros(0, np.uint64)  # no minimiser can reach it
+    some = d.where(F.pmod(F.xxhash64("text"), F.lit(round(1 / SHARE))) == 0).select("text")
+    found = some.mapInArrow(_common(window, 2), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")).where(F.col("n") >= need)
+    return np.sort(found.select("minimiser").toArrow()["minimiser"].to_numpy().view(np.uint64))
+
+
+def _send(buckets: int, window: int, slice_: int, hot):
     def run(batches):
-        for name, doc, _, data, off in _slices(batches):
-            starts, ends, _, value, d, word, size, bucket = _cut(data, off, buckets, window)
+        for name, doc, _, data, off in _slices(batches, slice_):
+            starts, ends, _, value, d, word, size, bucket = _cut(data, off, buckets, window, hot.value)
             if not len(d):
                 continue
             pick, item = _merged(data, starts, ends, value, word, size, bucket, window)
@@ -205,26 +274,26 @@ def _texts(size: int = SLICE, level: int = LEVEL):
     return run
 
 
-def _mark(buckets: int, window: int, hashed: bool):
+def _mark(buckets: int, window: int, hashed: bool, hot):
     """One slice with its answers: which words go, and what is left."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            raise RuntimeError("documents changed between two reads; stage the input of this operator first")
+            raise RuntimeError("documents changed between two reads")
         out = []
         for row in texts.to_pylist():  # repeated slices hold the same documents, with the same answers
             doc, nulls, off = np.frombuffer(row["doc"], np.int64), np.frombuffer(row["nulls"], bool), np.frombuffer(row["off"], np.int64)
             data = _open(row["blob"], int(off[-1]))
-            starts, ends, first, value, d, word, size, bucket = _cut(data, off, buckets, window)
+            starts, ends, first, value, d, word, size, bucket = _cut(data, off, buckets, window, hot.value)
             gone = np.zeros(len(starts) + 1, np.int64)
             if len(d) and answers.num_rows:
                 pick, item = _merged(data, starts, ends, value, word, size, bucket, window)
-                base = np.searchsorted(bucket[pick], np.arange(buckets + 1))
+                mine = bucket[pick]
                 by_item = np.argsort(item, kind="stable")
                 reach = np.searchsorted(item[by_item], np.arange(len(pick) + 1))
                 got, shift, low = [], [], []
                 for b, i, s, l in zip(answers["bucket"].to_pylist(), answers["item"].to_pylist(), answers["shift"].to_pylist(), answers["least"].to_pylist(), strict=True):
-                    got.append(np.frombuffer(i, np.int32) + base[b])
+                    got.append(np.frombuffer(i, np.int32) + np.searchsorted(mine, b))
                     shift.append(np.frombuffer(s, np.int32))
                     low.append(np.frombuffer(l, np.int64))
                 got, shift, low = np.concatenate(got), np.concatenate(shift), np.concatenate(low)
@@ -261,12 +330,12 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", win
     each other, and each get a row.  Empty tables give no rows; extra columns
     are ignored.
     """
-    d = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
+    d = repeatable(docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")), "documents")
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(min(1 << 20, max(8, -(-3 * size // BUCKET))))
-    types = ", ".join
-    sent = d.mapInArrow(_send(buckets, window), "bucket int, slice long, blob binary")
-    answers = stage(sent.groupBy("bucket").applyInArrow(_judge(window), types(["slice long", "bucket int", "item binary", "shift binary", "least binary"])), "answers")
-    texts = d.mapInArrow(_texts(), "slice long, doc binary, nulls binary, blob binary, off binary")
-    out = texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_mark(buckets, window, hashed), "doc long, n_words long, n_removed long, kept string")
+    buckets, slice_ = max(8, -(-3 * size // BUCKET)), max(SLICE, min(LARGEST, size // SLICES))
+    hot = docs.sparkSession.sparkContext.broadcast(_hot(d, window, size))
+    sent = d.mapInArrow(_send(buckets, window, slice_, hot), "bucket long, slice long, blob binary")
+    answers = stage(sent.groupBy("bucket").applyInArrow(_judge(window), "slice long, bucket long, item binary, shift binary, least binary"), "answers")
+    texts = d.mapInArrow(_texts(slice_), "slice long, doc binary, nulls binary, blob binary, off binary")
+    out = texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_mark(buckets, window, hashed, hot), "doc long, n_words long, n_removed long, kept string")
     return out.select(F.col("doc").alias(doc), "n_words", "n_removed", "kept")

@@ -118,7 +118,14 @@ def test_components_over_several_tasks(spark):
             spark.conf.set(k, v)
 
 
-def test_remove_repeats(spark):
+@pytest.mark.parametrize("hot", [None, 100])
+def test_remove_repeats(spark, monkeypatch, hot):
+    """Against brute force, also with nearly all minimisers split, tiny buckets, and an input that comes from a shuffle."""
+    if hot:
+        for name, value in (("HOT", hot), ("SHARE", 0.5), ("BUCKET", 400), ("SLICE", 2000)):
+            monkeypatch.setattr(superkmer, name, value)
+        split, found = [], superkmer._hot
+        monkeypatch.setattr(superkmer, "_hot", lambda *a: split.append(found(*a)) or split[-1])
     rows = corpus(4)
     k = 5
     first = {}
@@ -131,8 +138,9 @@ def test_remove_repeats(spark):
     for i, w in words:
         gone = {p for j in range(len(w) - k + 1) if first[tuple(w[j : j + k])] < i for p in range(j, j + k)}
         want[i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)] += 1
-    got = superkmer.remove_repeats(table(spark, rows), window=k)
+    got = superkmer.remove_repeats(table(spark, rows).repartition(5, "text") if hot else table(spark, rows), window=k)
     assert Counter(tuple(r) for r in got.collect()) == want
+    assert not hot or len(split[0])
     got = superkmer.remove_repeats(table(spark, rows), window=k, hashed=True)
     assert Counter(r.kept for r in got.collect()) == Counter(hashlib.sha256(x[3].encode()).hexdigest() for x in want.elements())
 
