@@ -87,7 +87,9 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
     """
     spark = lengths.sparkSession
     carried = ["row"] if "row" in lengths.columns else []
-    lens = stage(lengths.select("doc", F.coalesce("n", F.lit(0)).cast("long").alias("n"), *carried), "lengths")
+    lens = lengths.select("doc", F.coalesce("n", F.lit(0)).cast("long").alias("n"), *carried)
+    # Rows that carry their texts are not written twice: their lengths are counted again.
+    lens = lens if carried else stage(lens, "lengths")
     rows = lens.groupBy("n").count().orderBy("n").toArrow()
     bounds = boundaries(rows["n"].to_pylist(), rows["count"].to_pylist(), buckets)
     table = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
