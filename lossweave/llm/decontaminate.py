@@ -15,8 +15,8 @@ from lossweave.llm.folds import before
 from lossweave.llm.staging import fresh
 
 WINDOW = 13
-#: Windows of all test items up to which their set is broadcast; larger sets are joined by shuffle.
-BROADCAST_WINDOWS = 500_000
+#: Windows of all test items, and characters of them and their items' ids, up to which their set is broadcast; larger sets are joined by shuffle.
+BROADCAST_WINDOWS, BROADCAST_CHARS = 500_000, 64_000_000
 
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -55,7 +55,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
     an empty benchmark no hits.  Extra columns are ignored.
     """
     grams = test_windows(benchmark, item, bench_text, window)
-    small = grams.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    held = F.length("gram") + F.length(F.array_join("items", " "))
+    n_grams, chars = grams.agg(F.count("*"), F.coalesce(F.sum(held), F.lit(0))).first()
+    small = n_grams <= BROADCAST_WINDOWS and chars <= BROADCAST_CHARS
     entry = F.struct("shift", "n", "gram", "items")
     anchors = grams.groupBy("anchor").agg(F.collect_list(entry).alias("entries"))
     d = docs.select(F.col(doc).alias("doc"), F.xxhash64(F.col(text)).alias("key"), F.length(text).alias("len"), _pieces(F.col(text)).alias("w"))

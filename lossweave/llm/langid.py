@@ -21,6 +21,8 @@ from lossweave.llm import textkernels as K
 
 #: Labelled rows drawn for each language (expected; drawn by a hash of the id), size of each n-gram table (2**bits rows).
 SAMPLE, BITS = 1500, 16
+#: Languages learned at most: those with most labelled rows. A table takes a megabyte a language on the driver and in each task.
+LANGUAGES = 256
 #: Cost of changing the language between two words, in nats; share of a language's words that makes a script its own.
 SWITCH, OWN_SCRIPT = 14.0, 0.002
 #: Bytes of text whose documents are labelled together, and whose n-grams are held at once.
@@ -76,10 +78,10 @@ def _count(languages: list[str]):
     """n-gram and script counts of a task's sampled texts: (language, table, index, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 1 << BITS
+        size, number = 1 << BITS, {x: k for k, x in enumerate(languages)}
         total = np.zeros((len(languages), 2 * size + len(SCRIPTS)), np.int64)
         for batch in batches:
-            lang = np.array([languages.index(x) for x in batch.column(1).to_pylist()])
+            lang = np.array([number[x] for x in batch.column(1).to_pylist()])
             for k in np.unique(lang):
                 data, off = K.utf8(batch.column(0).filter(pa.array(lang == k)))
                 for i, j in K.slices(off, PART):
@@ -95,23 +97,27 @@ def _count(languages: list[str]):
     return run
 
 
-def fit(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> dict:
+def fit(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> dict:
     """Tables of a classifier for the languages of the labelled rows that are not held out.
 
     At most about ``sample`` rows of each language are read, drawn by a hash of
-    the id; the driver gets sums over n-gram tables of fixed size.
+    the id; the driver gets sums over n-gram tables of fixed size.  Of more than
+    ``languages`` distinct labels, as a column of free text may hold, those with
+    most rows are learned (of equal ones, the first by name).
     """
     known = docs.where(~held_out(F.col(doc)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}  # one row per language
-    languages = sorted(sizes)
-    if not languages:
+    most = known.groupBy(lang).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), lang).limit(languages)
+    sizes = {r[0]: r[1] for r in most.collect()}
+    learned = sorted(sizes)
+    if not learned:
         return {"languages": []}
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample / sizes[k]))])
+    # Null, and so not chosen, for what is not learned.
+    share = F.create_map(*[F.lit(x) for k in learned for x in (k, min(1.0, sample / sizes[k]))])
     draw = F.pmod(F.xxhash64(F.col(doc).cast("string")), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.where(draw < share[F.col(lang)]).select(F.lower(text).alias("t"), F.col(lang).alias("l"))
-    rows = chosen.mapInArrow(_count(languages), "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
+    rows = chosen.mapInArrow(_count(learned), "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
     size = 1 << BITS
-    total = np.zeros((len(languages), 2 * size + len(SCRIPTS)))
+    total = np.zeros((len(learned), 2 * size + len(SCRIPTS)))
     total[rows["k"].to_numpy(), rows["at"].to_numpy()] = rows["n"].to_numpy()
     tables = []
     for a in (0, size):
@@ -121,13 +127,13 @@ def fit(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "l
     script = total[:, 2 * size :]
     own = script / np.maximum(1, script.sum(1, keepdims=True)) >= OWN_SCRIPT
     own[:, ~own.any(0)] = True  # a script that no language knows rules none out
-    return {"languages": languages, "g3": tables[0], "g4": tables[1], "own": np.where(own.T, 0, -1e6).astype(np.float32)}
+    return {"languages": learned, "g3": tables[0], "g4": tables[1], "own": np.where(own.T, 0, -1e6).astype(np.float32)}
 
 
 def viterbi(score: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarray:
     """Best label of each word under a cost for each change; all documents advance together."""
     states = score.shape[1]
-    label = np.zeros(len(score), np.int8)
+    label = np.zeros(len(score), np.int16)
     if states == 1 or not len(score):
         return label
     order = np.argsort(-counts, kind="stable")
@@ -135,7 +141,7 @@ def viterbi(score: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarray:
     longest = int(counts[order[0]])
     active = np.searchsorted(-counts[order], -np.arange(longest), "left")
     change = np.zeros(score.shape, bool)  # whether the best way into a state is from another
-    source = np.zeros(len(score), np.int8)
+    source = np.zeros(len(score), np.int16)
     v = score[first[: active[0]]].copy()
     for t in range(1, longest):
         n = active[t]
@@ -199,7 +205,8 @@ def _predict(model, switch: float, spans: bool):
             lang = np.full(batch.num_rows, "und", object)
             share = np.zeros(batch.num_rows)
             parts_of: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for i, j in K.slices(off, SLICE):
+            # A word has a score for each language, so many languages take shorter slices.
+            for i, j in K.slices(off, SLICE * 8 // max(8, len(names))):
                 if not len(names):
                     continue
                 parts = [_scores(m, data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in ((i + x, i + y) for x, y in K.slices(off[i : j + 1], PART))]

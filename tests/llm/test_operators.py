@@ -202,9 +202,9 @@ def brute_hits(t, bench, k):
     return hit
 
 
-@pytest.mark.parametrize("limit", [500_000, 0])
-def test_contamination(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+@pytest.mark.parametrize("bound,limit", [("WINDOWS", 500_000), ("WINDOWS", 0), ("CHARS", 20)])
+def test_contamination(spark, monkeypatch, bound, limit):
+    monkeypatch.setattr(decontaminate, f"BROADCAST_{bound}", limit)
     rows = [(i, None if t is None else f"({t})!") for i, t in corpus(6)]
     bench = [(1, "W1, w2 w3 w4 w5 w6"), (2, "w3"), (3, None), (4, "..."), (5, "ein-wort"), (6, (rows[0][1] or "")[:60]), (7, "w1 w2 w3 w4 w5 w6")]
     b = spark.createDataFrame(bench, "item_id long, text string")
@@ -330,6 +330,19 @@ def test_language(spark):
     assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {400, 401, 402}
 
 
+def test_many_labels(spark):
+    """More labels than a byte counts are told apart; of more than the bound, those with most rows are learned."""
+    kinds = [f"{a}{b}" for a in "abcdefghijklmnop" for b in "qrstuvwxyz"]
+    rows = [(1000 * j + i, " ".join([3 * k] * 12), k) for i, k in enumerate(kinds) for j in range(12 + (i >= 120))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(d)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(d, model).collect()}
+    assert model["languages"] == sorted(kinds) and all(got[i] == k for i, _, k in rows)
+    sizes = Counter(r.lang for r in d.where(~langid.held_out(F.col("doc_id"))).collect())
+    most = sorted(sizes, key=lambda k: (-sizes[k], k))[:30]
+    assert langid.fit(d, languages=30)["languages"] == sorted(most)
+
+
 def test_language_of_a_text_depends_on_it_alone(spark):
     """One-letter texts next to all kinds of neighbours: order and batches change nothing; spans cover the words."""
     rng = random.Random(31)
