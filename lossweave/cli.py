@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import importlib
 import json
 import sys
@@ -15,6 +16,10 @@ def _object(name: str):
     return getattr(importlib.import_module(module), attribute)
 
 
+#: Settings of a model that a scorer's builder gets by name.
+MODEL_OPTIONS = ("activation_checkpoint_min_length", "lm_head_chunk_size", "cuda_cache_cleanup_interval")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lossweave")
     sub = p.add_subparsers(dest="command", required=True)
@@ -48,11 +53,15 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--data-parallel-size", type=int, help="tasks that score at a time; by default as many as the input has")
     s.add_argument("--chunk-rows", type=int, default=1_000_000, help="lines whose scores become durable together")
     s.add_argument("--single-file", action="store_true", help="one output file instead of a folder of ordered parts")
+    s.add_argument("--progress-interval", type=int, default=1, help="parts of --chunk-rows lines after which progress is told")
+    for name in MODEL_OPTIONS:
+        s.add_argument(f"--{name.replace('_', '-')}", type=int, help="handed to the scorer's builder if given")
     m = sub.add_parser("mask", help="count-matched likelihood masks")
     for name in ("nll", "reference", "output"):
         m.add_argument(f"--{name}", required=True)
     m.add_argument("--expected-records", type=int)
     m.add_argument("--overwrite", action="store_true")
+    m.add_argument("--progress-interval", type=int, help="taken, but masks are one Spark job, whose progress Spark shows itself")
     m.add_argument("--single-file", action="store_true")
     t = sub.add_parser("select", help="training set with ignored labels")
     t.add_argument("config")
@@ -75,37 +84,28 @@ def main(argv: list[str] | None = None) -> int:
         dtype = a.dtype or ("float32" if a.method == "ablation" else "bfloat16")
         run = Scoring(input=a.input, output=a.output, template=resolve(a.model_dir, a.template, a.input, a.configs), messages_field=a.messages_field, prompt_field=a.prompt_field, response_field=a.response_field, system_field=a.system_field, id_field=a.id_field,
                       start_index=a.start_index, limit=a.limit, max_model_len=a.max_model_len, truncate_to_length=a.truncate_to_length, score_transform=a.score_transform, method=a.method, ablated_gate_value=a.ablated_gate_value, dtype=dtype, overwrite=a.overwrite, fail_fast=a.fail_fast,
-                      model_dir=a.model_dir, device=a.device, attn_implementation=a.attn_implementation, trust_remote_code=a.trust_remote_code, workspace=a.workspace, chunk_rows=a.chunk_rows, partitions=a.data_parallel_size, single_file=a.single_file)
-        print(json.dumps(score(spark, run, _object(a.tokenizer)(), _object(a.scorer), a.bos)))
+                      model_dir=a.model_dir, device=a.device, attn_implementation=a.attn_implementation, trust_remote_code=a.trust_remote_code, workspace=a.workspace, chunk_rows=a.chunk_rows, partitions=a.data_parallel_size, single_file=a.single_file, progress_interval=a.progress_interval)
+        options = {x: getattr(a, x) for x in MODEL_OPTIONS if getattr(a, x) is not None}
+        build = functools.partial(_object(a.scorer), **options)
+        print(json.dumps(score(spark, run, _object(a.tokenizer)(), build, a.bos)))
     elif a.command == "mask":
         from lossweave.plans.materialize import materialize_masks
 
         print(json.dumps(materialize_masks(spark, a.nll, a.reference, a.output, a.expected_records, a.overwrite, a.single_file)))
     else:
         from lossweave.functions.templates import NOTHINK_CHAT
-        from lossweave.operators import merging, selection
-        from lossweave.plans.config import guard, load
-        from lossweave.plans.materialize import training_set
-        from lossweave.sources import jsonl, registry
+        from lossweave.plans.config import load
+        from lossweave.plans.materialize import select
         from lossweave.sources.files import Files
 
-        with open(a.config, encoding="utf-8") as f:
-            training, config = load(f.read(), a.overrides, a.scoped)
-        guard(training)
-        names = [x.strip() for x in training["dataset"].split(",")] if isinstance(training["dataset"], str) else list(training["dataset"])
-        folder = training.get("dataset_dir", "data")
-        parts = []
-        for entry in registry.lookup(registry.load(spark, f"{folder}/dataset_info.json"), names):
-            rows = registry.rows(spark, f"{folder}/{entry['file_name']}")
-            scores = jsonl.scores(spark, config.score_path(entry["name"], names))
-            parts.append(training_set(rows, scores, config, training["template"], _object(a.tokenizer)(), int(training["cutoff_len"]), a.bos, training.get("max_samples"), bool(training.get("train_on_prompt", False))))
-        whole = merging.combine([x.select("input_ids", "attention_mask", "labels", "n_retained", "n_ignored", "error") for x in parts])
-        if training["template"] == "qwen3_nothink":
-            if not training.get("output_dir"):
-                raise ValueError("qwen3_nothink training needs output_dir")
-            Files(spark).write(f"{training['output_dir']}/chat_template.jinja", NOTHINK_CHAT)
-        whole.write.parquet(a.output)
-        print(selection.statistics(spark.read.parquet(a.output)).toJSON().first())
+        files = Files(spark)
+        training, _ = load(files.read(a.config), a.overrides, a.scoped)
+        chat = training.get("template") == "qwen3_nothink"
+        if chat and not training.get("output_dir"):
+            raise ValueError("qwen3_nothink training needs output_dir")
+        print(json.dumps(select(spark, a.config, a.output, _object(a.tokenizer)(), a.overrides, a.scoped, a.bos)))
+        if chat:
+            files.write(f"{training['output_dir']}/chat_template.jinja", NOTHINK_CHAT)
     return 0
 
 

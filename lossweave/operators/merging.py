@@ -54,10 +54,21 @@ def combine(datasets: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), datasets)
 
 
-def split(rows: DataFrame, share: float, key: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, validation) by a seeded hash of the key: the same split on every run and at every size."""
+def split(rows: DataFrame, size: float, key: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, validation) by a seeded hash of the key: the same split on every run.
+
+    ``size`` is the share of the validation rows if it is below 1, else their
+    number; then those with the smallest hashes are found by a bounded top-k.
+    Rows of one key stay together.
+    """
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
-    return rows.where(draw >= share), rows.where(draw < share)
+    if size < 1:
+        return rows.where(draw >= size), rows.where(draw < size)
+    drawn = F.struct(draw.alias("draw"), F.col(key).cast("string").alias("key"))
+    edge = rows.select(drawn.alias("_at")).orderBy("_at").limit(int(size)).agg(F.max("_at").alias("_edge"))
+    marked = rows.crossJoin(F.broadcast(edge))  # one row
+    held = F.coalesce(drawn <= F.col("_edge"), F.lit(False))
+    return marked.where(~held).drop("_edge"), marked.where(held).drop("_edge")
 
 
 def first_rows(rows: DataFrame, n: int, index: str = "row_index") -> DataFrame:

@@ -103,6 +103,8 @@ class Scoring:
     #: Lines whose scores become durable together; tasks that score them (None: as many as the input has).
     chunk_rows: int = 1_000_000
     partitions: int | None = None
+    #: Chunks after which progress is told; 0 tells none.
+    progress_interval: int = 0
     #: One file instead of a folder of ordered parts; it passes through the driver.
     single_file: bool = False
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,8 +12,8 @@ from lossweave.functions import ranking as R
 from lossweave.functions.tokenizers import Encode
 from lossweave.operators import alignment, merging, records, scorers, selection
 from lossweave.plans import provenance
-from lossweave.plans.config import Scoring, Selection
-from lossweave.sources import jsonl, publish
+from lossweave.plans.config import Scoring, Selection, guard, load
+from lossweave.sources import jsonl, publish, registry
 from lossweave.sources.files import Files
 
 SCORED = ("source_index", *jsonl.SCORE_COLUMNS)
@@ -89,6 +90,8 @@ def score(spark: SparkSession, run: Scoring, encode: Encode, build: Callable[[],
         if run.partitions:
             todo = todo.repartition(run.partitions)
         scorers.score_each(todo, build, run.score_transform, run.fail_fast).write.mode("overwrite").parquet(at)
+        if run.progress_interval and (k - chunks[0] + 1) % run.progress_interval == 0:
+            print(f"scored {k - chunks[0] + 1} of {len(chunks)} parts", file=sys.stderr, flush=True)
     new = spark.createDataFrame([], f"{scorers.SCORED}, failure string, chunk long")
     if chunks:
         new = spark.read.schema(new.schema).option("basePath", f"{parts}/scores").parquet(f"{parts}/scores")
@@ -144,3 +147,52 @@ def training_set(rows: DataFrame, scores: DataFrame, config: Selection, template
 
     encoded = talks.withColumn("encoded", S.encoded_turns(F.col("turns"), F.col("system"), template, encode, bos))
     return selection.train_examples(encoded, config, cutoff, encode, train_on_prompt, eos)
+
+
+#: Columns of a written training set.
+EXAMPLE = ("dataset", "row_index", "input_ids", "attention_mask", "labels", "n_retained", "n_ignored")
+
+
+def select(spark: SparkSession, settings: str, output: str, encode: Encode, overrides: list[str] = (), scoped: bool = False, bos: int | None = None) -> dict[str, dict]:
+    """Training set of a settings file, and the statistics of each of its splits.
+
+    A sample that cannot be used fails the run with its dataset, row and reason.
+    With ``val_size`` (a share, or a number of rows) the output has the folders
+    train and validation, else it is the training set.  It is put in place when
+    all is written; an existing one is replaced only with ``overwrite_cache``.
+    ``preprocessing_batch_size`` is the number of rows a Python tokenizer gets
+    at a time; how many run at once follows from the input's partitions, so
+    ``preprocessing_num_workers`` changes nothing.
+    """
+    files = Files(spark)
+    training, config = load(files.read(settings), overrides, scoped)
+    guard(training)
+    staged = f"{output}.staged"
+    if files.exists(output) and not training.get("overwrite_cache"):
+        raise FileExistsError(f"{output} exists; set overwrite_cache")
+    names = [x.strip() for x in training["dataset"].split(",")] if isinstance(training["dataset"], str) else list(training["dataset"])
+    folder, cutoff, most = training.get("dataset_dir", "data"), int(training["cutoff_len"]), training.get("max_samples")
+    parts = []
+    for entry in registry.lookup(registry.load(spark, f"{folder}/dataset_info.json"), names):
+        rows = registry.rows(spark, f"{folder}/{entry['file_name']}")
+        scores = jsonl.scores(spark, config.score_path(entry["name"], names))
+        made = training_set(rows, scores, config, training["template"], encode, cutoff, bos, most, bool(training.get("train_on_prompt", False)))
+        made = made.withColumns({"dataset": F.lit(entry["name"]), "_where": F.concat(F.lit(f"{entry['name']}, "), F.col("row_index").cast("string"))})
+        parts.append(alignment.fail_on(made, "error", "_where").select(*EXAMPLE))
+    whole, held = merging.combine(parts), float(training.get("val_size") or 0)
+    splits = {"": whole}
+    if held:
+        train, validation = merging.split(whole.withColumn("_key", F.concat_ws(":", "dataset", "row_index")), held, "_key", int(training.get("seed", 42)))
+        splits = {"train": train.drop("_key"), "validation": validation.drop("_key")}
+    # The setting belongs to the session and is put back.
+    name, batch = "spark.sql.execution.arrow.maxRecordsPerBatch", training.get("preprocessing_batch_size")
+    before = spark.conf.get(name)
+    try:
+        if batch:
+            spark.conf.set(name, str(int(batch)))
+        for split, rows in splits.items():
+            rows.write.mode("overwrite").parquet(f"{staged}/{split}".rstrip("/"))
+    finally:
+        spark.conf.set(name, before)
+    files.swap(staged, output)
+    return {split or "train": selection.statistics(spark.read.parquet(f"{output}/{split}".rstrip("/"))).first().asDict() for split in splits}

@@ -421,6 +421,25 @@ def q_max_samples(spark, sf_dir):
     return merging.first_rows(rows, 10)
 
 
+@_add("q_token_info", """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, CAST(length(text) AS INT) AS n, CAST(length(text) * (length(text) + 5) // 2 AS BIGINT) AS places, CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '(?s).'), lambda c: unicode(c) + 10)), 0) AS BIGINT) AS ids, md5(text) AS texts FROM t""")
+def q_token_info(spark, sf_dir):
+    """Places, ids and texts of the tokens after a mark of three."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", CODE_POINTS(F.concat(F.lit("<s>"), F.coalesce("text", F.lit("")))).alias("ids"))
+    at = F.transform(F.slice("ids", 4, F.size("ids")), lambda x, i: i + 3)
+    d = d.select("doc_id", K.token_info(F.col("ids"), at, K.code_point_texts()).alias("info"))
+    total = lambda name: F.aggregate("info", F.lit(0).cast("long"), lambda s, x: s + x[name])
+    return d.select("doc_id", F.size("info").alias("n"), total("sequence_token_index").alias("places"), total("token_id").alias("ids"), F.md5(F.array_join(F.transform("info", lambda x: x["token_text"]), "").cast("binary")).alias("texts"))
+
+
+@_add("q_split_count", """SELECT conv_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || conv_id)[1:8], CAST(conv_id AS VARCHAR)) > 25 THEN 'train' ELSE 'validation' END AS part FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def q_split_count(spark, sf_dir):
+    """Train and a validation set of 25 rows, marked."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    train, held = merging.split(rows, 25, "conv_id")
+    return merging.combine([train.withColumn("part", F.lit("train")), held.withColumn("part", F.lit("validation"))])
+
+
 @_add("q_dataset_split", """SELECT conv_id, CASE WHEN CAST('0x' || substring(md5('42|' || conv_id), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) >= 0.2 THEN 'train' ELSE 'validation' END AS part FROM (SELECT DISTINCT conv_id FROM conversations)""")
 def q_dataset_split(spark, sf_dir):
     """Train and validation by a seeded hash: rows of both, marked."""

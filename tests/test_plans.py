@@ -233,3 +233,50 @@ def test_settings(tmp_path):
     with pytest.raises(ValueError):
         provenance.check_resume(old, {**old, "n": 2})
     assert provenance.sibling("/a/b.jsonl", "errors") == "/a/b.errors.jsonl"
+
+
+def loss_builder(lm_head_chunk_size=0):
+    assert lm_head_chunk_size == 7  # as the command line says
+    return losses()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """Scores, then masks, then a training set with a validation split; what cannot be used fails the run."""
+    from lossweave import cli
+
+    data = tmp_path / "data"
+    data.mkdir()
+    rows = [{"prompt": "question", "response": "answer" * (1 + k % 3)} for k in range(20)]
+    (data / "a.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    (data / "dataset_info.json").write_text(json.dumps({"a": {"file_name": "a.jsonl"}}))
+    scores, masks, out = tmp_path / "s.jsonl", tmp_path / "m.jsonl", tmp_path / "out"
+    assert cli.main(["score", "entropy", "--input", str(data / "a.jsonl"), "--output", str(scores), "--template", "qwen3_nothink", "--scorer", "tests.test_plans:loss_builder", "--lm-head-chunk-size", "7", "--chunk-rows", "8"]) == 0
+    said = capsys.readouterr()
+    assert json.loads(said.out)["output_records"] == 20 and said.err.count("of 3 parts") == 3
+    assert cli.main(["mask", "--nll", str(scores), "--reference", str(scores), "--output", str(masks), "--progress-interval", "5"]) == 0
+    settings = tmp_path / "run.yaml"
+    settings.write_text(f"dataset: a\ndataset_dir: {data}\ntemplate: qwen3_nothink\ncutoff_len: 100\noutput_dir: {tmp_path}/model\nval_size: 4\npreprocessing_batch_size: 3\nselective_training: {{ignore_zero_scores_only: true, score_file: {masks}}}\n")
+    capsys.readouterr()
+    assert cli.main(["select", str(settings), "--output", str(out)]) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert (told["train"]["samples"], told["validation"]["samples"]) == (16, 4) and (tmp_path / "model" / "chat_template.jinja").exists()
+    read = {s: {r.row_index for r in spark.read.parquet(f"{out}/{s}").collect()} for s in ("train", "validation")}
+    assert not read["train"] & read["validation"] and read["train"] | read["validation"] == set(range(20))
+    with pytest.raises(FileExistsError):
+        cli.main(["select", str(settings), "--output", str(out)])
+    with pytest.raises(Exception, match="a, [0-9]+: score/tokenization mismatch"):
+        cli.main(["select", str(settings), "overwrite_cache=true", "template=qwen3", "--output", str(out)])
+    assert spark.read.parquet(f"{out}/train").count() == 16
+    assert cli.main(["select", str(settings), "overwrite_cache=true", "val_size=0.0", "--output", str(out)]) == 0
+    assert spark.read.parquet(str(out)).count() == 20
+
+
+def test_token_info(spark):
+    from lossweave.functions import tokenizers as K
+
+    d = spark.createDataFrame([("<s>aé日😀",), ("<s>",)], "t string")
+    ids = K.code_points()(d.t)
+    at = F.transform(F.slice(ids, 4, F.size(ids)), lambda x, i: i + 3)
+    for decode in (K.code_point_texts(), K.arrow_texts(lambda rows: [[chr(x - 10) for x in r] for r in rows])):
+        got = [[tuple(x) for x in r[0]] for r in d.select(K.token_info(ids, at, decode)).collect()]
+        assert got == [[(i, i + 3, ord(c) + 10, c) for i, c in enumerate("aé日😀")], []]
