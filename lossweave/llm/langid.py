@@ -26,7 +26,7 @@ LANGUAGES = 256
 #: Cost of changing the language between two words, in nats; share of a language's words that makes a script its own.
 SWITCH, OWN_SCRIPT = 14.0, 0.002
 #: Bytes of text whose documents are labelled together, and whose n-grams are held at once.
-SLICE, PART = 6_000_000, 1_000_000
+SLICE, PART = 6_000_000, 300_000
 
 # Bytes that end a word: ASCII but letters (texts come lower-cased). All of a longer character's bytes are inside.
 _GAP = np.ones(256, bool)
