@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lossweave.llm import textkernels as K
@@ -26,7 +27,7 @@ LANGUAGES = 256
 #: Cost of changing the language between two words, in nats; share of a language's words that makes a script its own.
 SWITCH, OWN_SCRIPT = 14.0, 0.002
 #: Bytes of text whose documents are labelled together, and whose n-grams are held at once.
-SLICE, PART = 6_000_000, 300_000
+SLICE, PART = 2_000_000, 300_000
 
 # Bytes that end a word: ASCII but letters (texts come lower-cased). All of a longer character's bytes are inside.
 _GAP = np.ones(256, bool)
@@ -74,6 +75,16 @@ def _grams(data: np.ndarray, off: np.ndarray):
     return begin, g3, g4, np.diff(first), script, ends - starts
 
 
+def _lowered(texts: pa.Array) -> pa.Array:
+    """Texts in lower case, a null as an empty one; bytes that are no UTF-8 are replaced."""
+    if not pa.types.is_string(texts.type):
+        texts = texts.cast(pa.string())
+    try:
+        return pc.utf8_lower(texts.fill_null(""))
+    except pa.ArrowInvalid:
+        return pa.array([(b or b"").decode(errors="replace").lower() for b in texts.cast(pa.binary()).to_pylist()], pa.string())
+
+
 def _count(languages: list[str]):
     """n-gram and script counts of a task's sampled texts: (language, table, index, count)."""
 
@@ -83,7 +94,7 @@ def _count(languages: list[str]):
         for batch in batches:
             lang = np.array([number[x] for x in batch.column(1).to_pylist()])
             for k in np.unique(lang):
-                data, off = K.utf8(batch.column(0).filter(pa.array(lang == k)))
+                data, off = K.utf8(_lowered(batch.column(0).filter(pa.array(lang == k))))
                 for i, j in K.slices(off, PART):
                     _, g3, g4, _, script, _ = _grams(data[off[i] : off[j]], off[i : j + 1] - off[i])
                     total[k, :size] += np.bincount(g3, minlength=size)
@@ -114,7 +125,7 @@ def fit(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "l
     # Null, and so not chosen, for what is not learned.
     share = F.create_map(*[F.lit(x) for k in learned for x in (k, min(1.0, sample / sizes[k]))])
     draw = F.pmod(F.xxhash64(F.col(doc).cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.where(draw < share[F.col(lang)]).select(F.lower(text).alias("t"), F.col(lang).alias("l"))
+    chosen = known.where(draw < share[F.col(lang)]).select(F.col(text).alias("t"), F.col(lang).alias("l"))
     rows = chosen.mapInArrow(_count(learned), "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
     size = 1 << BITS
     total = np.zeros((len(learned), 2 * size + len(SCRIPTS)))
@@ -195,39 +206,66 @@ def _runs(label: np.ndarray, counts: np.ndarray, names: np.ndarray) -> list[list
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64()), ("lang", pa.string())]))
 
 
-def _predict(model, switch: float, spans: bool):
+def _judged(m: dict, texts: pa.Array, switch: float, spans: bool) -> tuple[np.ndarray, np.ndarray, list[list[dict]]]:
+    """Language and its share of the letters of each text, and on request its runs."""
+    names = np.array(m["languages"], object)
+    lang, share = np.full(len(texts), "und", object), np.zeros(len(texts))
+    runs: list[list[dict]] = [[] for _ in range(len(texts) if spans else 0)]
+    low = _lowered(texts)
+    letters = pc.match_substring_regex(low, r"\pL").to_numpy(zero_copy_only=False)
+    data, off = K.utf8(low)
+    if not len(names) or not len(data):
+        return lang, share, runs
+    parts = [_scores(m, data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in K.slices(off, PART)]
+    score, counts, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    if not len(score):
+        return lang, share, runs
+    label = viterbi(score, counts, switch)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    mass = np.bincount(owner * len(names) + label, weights=size, minlength=len(texts) * len(names)).reshape(len(texts), -1)
+    some = letters & (counts > 0)
+    lang[some] = names[mass.argmax(1)[some]]
+    share[some] = (mass.max(1) / np.maximum(1, mass.sum(1)))[some]
+    if spans:
+        runs = [x if known else [] for x, known in zip(_runs(label, counts, names), some.tolist(), strict=True)]
+    return lang, share, runs
+
+
+def _predict(model, switch: float, spans: bool, text: int | None = None, least: float | None = None):
+    """Rows of (doc, text) to (doc, language, share), slice by slice.
+
+    ``text`` is the place of the text within doc, a struct, where doc comes
+    alone.  With ``least``, only doc comes back, of texts of a known language
+    that has this share.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        names = np.array(m["languages"], object)
+        # A word has a score for each language, so many languages take shorter slices.
+        limit = SLICE * 8 // max(8, len(m["languages"]))
         for batch in batches:
-            data, off = K.utf8(batch.column(1))
-            letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            lang = np.full(batch.num_rows, "und", object)
-            share = np.zeros(batch.num_rows)
-            parts_of: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            # A word has a score for each language, so many languages take shorter slices.
-            for i, j in K.slices(off, SLICE * 8 // max(8, len(names))):
-                if not len(names):
+            texts = batch.column(1) if text is None else pc.struct_field(batch.column(0), [text])
+            size = pc.binary_length(texts if pa.types.is_string(texts.type) else texts.cast(pa.string())).fill_null(0).to_numpy()
+            for i, j in K.slices(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), limit):
+                rows = batch.column(0).slice(i, j - i)
+                lang, share, runs = _judged(m, texts.slice(i, j - i), switch, spans)
+                if least is not None:
+                    keep = pa.array((lang != "und") & (share >= least))
+                    yield pa.RecordBatch.from_arrays([rows.filter(keep)], ["doc"])
                     continue
-                parts = [_scores(m, data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in ((i + x, i + y) for x, y in K.slices(off[i : j + 1], PART))]
-                score, counts, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-                if not len(score):
-                    continue
-                label = viterbi(score, counts, switch)
-                owner = np.repeat(np.arange(j - i), counts)
-                mass = np.bincount(owner * len(names) + label, weights=size, minlength=(j - i) * len(names)).reshape(j - i, -1)
-                some = letters[i:j] & (counts > 0)
-                lang[i:j][some] = names[mass.argmax(1)[some]]
-                share[i:j][some] = (mass.max(1) / np.maximum(1, mass.sum(1)))[some]
-                if spans:
-                    for d, x in enumerate(_runs(label, counts, names)):
-                        parts_of[i + d] = x if some[d] else []
-            columns = [batch.column(0), pa.array(lang, pa.string()), pa.array(share), *([pa.array(parts_of, _SPANS)] if spans else [])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "lang_pred", "score", "spans"][: len(columns)])
+                columns = [rows, pa.array(lang, pa.string()), pa.array(share), *([pa.array(runs, _SPANS)] if spans else [])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "lang_pred", "score", "spans"][: len(columns)])
 
     return run
 
 
+def _within(docs: DataFrame, text: str) -> tuple[Column, int]:
+    """A row as one struct, and the place of the text in it."""
+    names = docs.columns if text in docs.columns else [c.lower() for c in docs.columns]
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), names.index(text if text in docs.columns else text.lower())
+
+
 def identify(docs: DataFrame, model: dict, doc: str = "doc_id", text: str = "text", switch: float = SWITCH, spans: bool = False) -> DataFrame:
     """(doc, lang_pred, score) per document row; score is the label's share of the letters, in bytes.
 
@@ -237,7 +275,7 @@ def identify(docs: DataFrame, model: dict, doc: str = "doc_id", text: str = "tex
     on its own text only.  Repeated rows each get a row; other columns are
     ignored.  Empty tables give no rows.
     """
-    d = docs.select(F.col(doc).alias("doc"), F.lower(text).alias("t"), F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)).alias("letters"))
+    d = docs.select(F.col(doc).alias("doc"), F.col(text).alias("t"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[doc].dataType.simpleString()
     more = ", spans array<struct<start: long, n: long, lang: string>>" if spans else ""
@@ -246,14 +284,16 @@ def identify(docs: DataFrame, model: dict, doc: str = "doc_id", text: str = "tex
 
 def label(docs: DataFrame, model: dict, text: str = "text", switch: float = SWITCH, lang: str = "_lang", score: str = "_lang_score") -> DataFrame:
     """docs with ``lang`` and ``score`` at the end; columns of docs of these names give way."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    out = identify(docs.select(row.alias("row"), F.col(f"`{text}`").alias("text")), model, "row", "text", switch)
-    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in (lang, score)]
+    row, at = _within(docs, text)
+    d = docs.select(row)
+    out = d.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), switch, False, at), f"doc {d.schema['doc'].dataType.simpleString()}, lang_pred string, score double")
+    kept = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in (lang, score)]
     return out.select(*kept, F.col("lang_pred").alias(lang), F.col("score").alias(score))
 
 
 def prevailing(docs: DataFrame, model: dict, share: float, text: str = "text", switch: float = SWITCH) -> DataFrame:
     """docs, all columns as they are, whose language is known and covers at least ``share`` of the letters."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    out = identify(docs.select(row.alias("row"), F.col(f"`{text}`").alias("text")), model, "row", "text", switch)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= share)).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    row, at = _within(docs, text)
+    d = docs.select(row)
+    out = d.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), switch, False, at, share), d.schema)
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -363,6 +364,29 @@ def test_language_of_a_text_depends_on_it_alone(spark):
     assert mixed == ((0, 140, "aa"), (140, 140, "bb")) and seen[0][texts.index(None)][3] == ()
 
 
+def test_language_odd_bytes_and_types(spark):
+    """Texts that are no UTF-8 or no strings, in either interface; a text's column may be written in another case."""
+    model = {"languages": ["aa"], "g3": np.zeros((1 << langid.BITS, 1), np.float32), "g4": np.zeros((1 << langid.BITS, 1), np.float32), "own": np.zeros((9, 1), np.float32)}
+    d = spark.createDataFrame([(1, bytearray(b"ab\xff\xfe")), (2, bytearray(b"\xff")), (3, None)], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as Text")
+    assert [r.lang_pred for r in langid.identify(d, model).orderBy("doc_id").collect()] == ["aa", "und", "und"]
+    assert [r.doc_id for r in langid.prevailing(d, model, 0.5).collect()] == [1]
+    numbers = spark.createDataFrame([(1, 5), (2, None)], "doc_id long, text long")
+    assert [r.lang_pred for r in langid.identify(numbers, model).collect()] == ["und", "und"] and langid.prevailing(numbers, model, 0.5).count() == 0
+
+
+def test_language_held_out_accuracy(spark):
+    """Trained on the documents that are not held out, the labels of those that are come out right, at least 99 of 100."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no fixture tables")
+
+    truth = spark.read.parquet(f"{folder}/documents.parquet").where("lang is not null and text is not null").select("doc_id", "lang")
+    rows = QUERIES["op3_language"](spark, folder).where("held_out").join(truth, "doc_id").collect()
+    right = sum(r.lang == r.lang_pred for r in rows)
+    print(f"held out: {right} of {len(rows)}")
+    assert len(rows) > 200 and right >= 0.99 * len(rows)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/x">Home</a></li></ul></nav><!-- ad --><div class="ad">Buy, now.</div><header>Top</header>
 <article><h1>A &amp; B</h1><p>First   long paragraph, with &eacute; words. And more.</p><p>Yes.</p><p><b>Unclosed<br><p>Next one, here.</p>
