@@ -7,7 +7,7 @@ lengths are placed together, so the driver needs the counts of at most ``row``
 lengths and places them with a segment tree over capacities, whatever the number
 of documents.  A remainder finds its row by its rank among those of its length.
 Rows carry the packed ids, the cumulative lengths of their segments and
-positions that start again at each segment.
+positions that start again at each segment; ``write`` puts them into files.
 
 Ranks follow (length, document id, ids), so the rows do not depend on how the
 input lies in files or partitions.
@@ -16,16 +16,20 @@ input lies in files or partitions.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
+from lossweave.llm import textkernels as K
 from lossweave.llm.staging import drop, stage
 
-#: Ids in a row.
-ROW = 4096
+#: Ids in a row; rows in a written file.
+ROW, FILE_ROWS = 4096, 16_384
 
 SCHEMA = "row_id long, ids binary, positions binary, cu_seqlens array<int>, docs array<long>, pieces array<int>, n_tokens int"
 
@@ -283,3 +287,85 @@ def pack(docs: DataFrame, doc: str = "doc_id", text: str = "text", row: int = RO
     rest = ordered.where(F.col("n") % row > 0).mapInArrow(_placed(row, table, moves, int(full.sum())), "row_id long, offset int, doc long, piece int, width int, ids binary")
     packed = rest.repartition(parts, "row_id").sortWithinPartitions("row_id", "offset").mapInArrow(_assembled(row), SCHEMA)
     return whole.unionByName(packed)
+
+
+#: What is known of a written file: its name without ending, its rows, ids in a row and bytes of an id.
+INDEX = "name string, rows long, row int, width int"
+
+
+def _files(path: str, limit: int):
+    """Writes a task's rows to files of at most ``limit`` rows; gives their index."""
+
+    def run(batches):
+        place, root = fs.FileSystem.from_uri(path)
+        place.create_dir(root, recursive=True)
+        for batch in _cut(batches, limit):
+            name, rows, entries, shape = uuid.uuid4().hex, 0, 0, None
+            with ExitStack() as close:
+                out = {k: close.enter_context(place.open_output_stream(f"{root}/{name}.{k}")) for k in ("ids", "positions", "cu", "cu_at", "row")}
+                for part in batch:
+                    (ids, off), (positions, upto), cu = K.utf8(part.column(1)), K.utf8(part.column(2)), part.column(3)
+                    sizes = np.unique(np.stack([np.diff(off), np.diff(upto)], 1), axis=0).tolist()
+                    shape = shape or sizes[0]
+                    if sizes != [shape]:
+                        raise ValueError("rows of different sizes cannot share a matrix")
+                    counts = cu.value_lengths().to_numpy()
+                    out["ids"].write(ids.tobytes())
+                    out["positions"].write(positions.tobytes())
+                    out["cu"].write(cu.flatten().to_numpy().astype("<i4").tobytes())
+                    out["cu_at"].write((entries + np.cumsum(counts) - counts).astype("<i8").tobytes())
+                    out["row"].write(part.column(0).to_numpy().astype("<i8").tobytes())
+                    rows, entries = rows + part.num_rows, entries + int(counts.sum())
+                out["cu_at"].write(np.array([entries], "<i8").tobytes())
+            row = shape[1] // 2
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows], pa.int64()), pa.array([row], pa.int32()), pa.array([shape[0] // row], pa.int32())], ["name", "rows", "row", "width"])
+
+    return run
+
+
+def _cut(batches, limit: int):
+    """Batches dealt into runs of ``limit`` rows, as iterators that are to be used up in order."""
+    left = (b for b in batches if b.num_rows)
+    held: list[pa.RecordBatch] = []
+
+    def some():
+        room = limit
+        while room:
+            b = held.pop() if held else next(left, None)
+            if b is None:
+                return
+            if b.num_rows > room:
+                held.append(b.slice(room))
+                b = b.slice(0, room)
+            room -= b.num_rows
+            yield b
+
+    while True:
+        if not held:
+            b = next(left, None)
+            if b is None:
+                return
+            held.append(b)
+        yield some()
+
+
+def write(rows: DataFrame, path: str, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Packed rows as matrices in raw little-endian files under ``path``; returns their index, kept as ``path``/index.
+
+    A file ``name`` has the parts ``.ids`` (rows x row numbers of ``width``
+    bytes), ``.positions`` (rows x row uint16), ``.cu`` (int32: the cumulative
+    segment lengths of its rows one after another), ``.cu_at`` (int64: where each
+    row's begin there, and their number) and ``.row`` (int64 row ids).
+
+    ``path`` is a location that Spark and pyarrow's file systems both know and
+    that all executors share.  Rows move nowhere; a task holds one batch.  Each
+    attempt of a task writes files of its own, and only those of attempts that
+    succeeded are in the index: others are left over and may be deleted.  An
+    existing index is an error.  An empty table gives an empty index; rows of
+    different sizes fail.
+    """
+    if "://" not in path and not path.startswith("/"):
+        raise ValueError("path must be absolute or have a scheme")
+    spark = rows.sparkSession
+    rows.select("row_id", "ids", "positions", "cu_seqlens").mapInArrow(_files(path, file_rows), INDEX).write.parquet(f"{path}/index")
+    return spark.read.schema(INDEX).parquet(f"{path}/index")

@@ -310,6 +310,33 @@ def test_ego_join_in_double_precision(spark, monkeypatch, interval, together):
     assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (count[i], root[i]) for i in range(len(x))}
 
 
+def test_written_matrices(spark, tmp_path):
+    """Files hold what the rows hold, whatever the rows of a file; nothing is written twice over; odd rows fail."""
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choices("abé ", k=rng.choice([0, 3, 30, 64, 200])))) for i in range(150)]
+    packed = best_fit_pack.pack(spark.createDataFrame(rows, "doc_id long, text string"), row=64)
+    want = {r.row_id: (r.ids, r.positions, r.cu_seqlens) for r in packed.collect()}
+    for limit, form in ((7, "{}"), (10_000, "file://{}")):
+        folder = tmp_path / str(limit)
+        index = best_fit_pack.write(packed, form.format(folder), limit)
+        got = {}
+        for f in index.collect():
+            at = folder / f.name
+            assert (f.row, f.width) == (64, 2) and 0 < f.rows <= limit
+            ids, places = (np.fromfile(f"{at}.{k}", "<u2").reshape(f.rows, 64) for k in ("ids", "positions"))
+            cu, cu_at = np.fromfile(f"{at}.cu", "<i4"), np.fromfile(f"{at}.cu_at", "<i8")
+            for k, row in enumerate(np.fromfile(f"{at}.row", "<i8").tolist()):
+                assert row not in got
+                got[row] = (ids[k].tobytes(), places[k].tobytes(), cu[cu_at[k] : cu_at[k + 1]].tolist())
+        assert got == {k: (bytes(a), bytes(b), c) for k, (a, b, c) in want.items()}
+    with pytest.raises(Exception, match="(?i)exists"):
+        best_fit_pack.write(packed, str(folder))
+    assert best_fit_pack.write(packed.limit(0), str(tmp_path / "none")).count() == 0
+    odd = packed.where("row_id = 0").union(packed.where("row_id = 1").withColumn("ids", F.substring("ids", 1, 100))).coalesce(1)
+    with pytest.raises(Exception, match="different sizes"):
+        best_fit_pack.write(odd, str(tmp_path / "odd"))
+
+
 def test_language(spark):
     rng = random.Random(9)
     kinds = {"aa": "the of and to in is that".split(), "bb": "der die und ist nicht ein zu".split(), "ru": "и в не на что он как".split()}
