@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import sys
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,6 +18,8 @@ from lossweave.sources import jsonl, publish, registry
 from lossweave.sources.files import Files
 
 SCORED = ("source_index", *jsonl.SCORE_COLUMNS)
+#: Seconds that the chunks scored by one Spark job take together, by the pace of those before; a slower chunk has its own.
+JOB_SECONDS = 30
 
 
 def encoded_samples(spark: SparkSession, run: Scoring, encode: Encode, bos: int | None = None) -> DataFrame:
@@ -40,11 +43,24 @@ def _encoded_parts(spark: SparkSession, run: Scoring, encode: Encode, bos: int |
     return spark.read.schema("source_index long, sample_id string, token_ids array<int>, response_positions array<int>, target_positions array<int>, error_type string, error string, chunk long").parquet(at)
 
 
+def _scored_chunks(files: Files, scores: str) -> set[int]:
+    """Chunks whose scores are durable: of folders ``chunk=k`` and ``chunk=first-last`` that are whole; what a cut-off job left of others goes."""
+    done: set[int] = set()
+    for name in files.names(scores) or ():
+        if not files.exists(f"{scores}/{name}/_SUCCESS"):
+            files.delete(f"{scores}/{name}")
+            continue
+        first, _, last = name.removeprefix("chunk=").partition("-")
+        done.update(range(int(first), int(last or first) + 1))
+    return done
+
+
 def score(spark: SparkSession, run: Scoring, encode: Encode, build: Callable[[], scorers.Scorer], bos: int | None = None) -> dict:
     """Score file, error file and manifest.
 
-    Samples are encoded once and scored chunk by chunk; a chunk's scores are
-    durable as soon as they are written.  An earlier run with the same settings
+    Samples are encoded once and scored chunk by chunk, in jobs of one chunk or
+    of as many as take ``JOB_SECONDS`` together; a job's scores are durable as
+    soon as they are written.  An earlier run with the same settings
     is gone on with, whether it was cut off (its parts are kept) or finished
     (its output is kept): only rows without a score are scored.  Settings that
     differ are an error, as is an output without a manifest; ``overwrite`` starts
@@ -68,8 +84,6 @@ def score(spark: SparkSession, run: Scoring, encode: Encode, build: Callable[[],
         provenance.check_resume(json.loads(files.read(note)), plan, run.workspace)
         if run.id_field is not None:
             raise ValueError("an output whose ids are a field's values does not tell its rows' lines; pass overwrite")
-        before.append(jsonl.scores(spark, run.output).select(*SCORED))
-        before[0].write.format("noop").mode("overwrite").save()  # checked whole before any model is loaded
     if files.exists(errors):
         bad_before.append(jsonl.errors(spark, errors).select(*jsonl.ERROR_COLUMNS))
     if files.exists(parts):
@@ -78,25 +92,37 @@ def score(spark: SparkSession, run: Scoring, encode: Encode, build: Callable[[],
         provenance.check_resume(json.loads(files.read(f"{parts}/plan.json")), plan, run.workspace)
     else:
         files.write(f"{parts}/plan.json", json.dumps(plan))
+    if files.exists(run.output):
+        old = jsonl.scores(spark, run.output).select(*SCORED)
+        old.write.mode("overwrite").parquet(f"{parts}/before")  # parsed and checked whole, once, before any model is loaded
+        before.append(spark.read.schema(old.schema).parquet(f"{parts}/before"))
     samples = _encoded_parts(spark, run, encode, bos, parts, files)
     good, bad = records.split_errors(samples)
     chunks = range(plan["start_index"] // run.chunk_rows, -(-plan["end_index"] // run.chunk_rows)) if plan["end_index"] > plan["start_index"] else ()
-    for k in chunks:
-        at = f"{parts}/scores/chunk={k}"
-        if files.exists(f"{at}/_SUCCESS"):
-            continue
-        todo = good.where(F.col("chunk") == k)
-        todo = merging.pending(todo, *before) if before else todo
+    done = _scored_chunks(files, f"{parts}/scores")
+    left, size = [k for k in chunks if k not in done], 1
+    while left:
+        # A job writes one folder, named by its first and last chunk: chunks that follow each other.
+        now = [k for i, k in enumerate(left[:size]) if k == left[0] + i]
+        left, first, last, began = left[len(now) :], now[0], now[-1], time.monotonic()
+        todo = good.where(F.col("chunk").between(first, last))
+        if before:
+            inside = F.col("source_index").between(first * run.chunk_rows, (last + 1) * run.chunk_rows - 1)
+            todo = merging.pending(todo, *[d.where(inside) for d in before])
         if run.partitions:
             todo = todo.repartition(run.partitions)
+        at = f"{parts}/scores/chunk={first}" + (f"-{last}" if last > first else "")
         scorers.score_each(todo, build, run.score_transform, run.fail_fast).write.mode("overwrite").parquet(at)
-        if run.progress_interval and (k - chunks[0] + 1) % run.progress_interval == 0:
-            print(f"scored {k - chunks[0] + 1} of {len(chunks)} parts", file=sys.stderr, flush=True)
-    new = spark.createDataFrame([], f"{scorers.SCORED}, failure string, chunk long")
+        size = max(1, min(4 * len(now), int(len(now) * JOB_SECONDS / max(time.monotonic() - began, 0.001))))
+        for n in (k - chunks[0] + 1 for k in now):
+            if run.progress_interval and n % run.progress_interval == 0:
+                print(f"scored {n} of {len(chunks)} parts", file=sys.stderr, flush=True)
+    new = spark.createDataFrame([], f"{scorers.SCORED}, failure string, chunk string")
     if chunks:
         new = spark.read.schema(new.schema).option("basePath", f"{parts}/scores").parquet(f"{parts}/scores")
         stray = F.raise_error(F.concat(F.lit("row of another part: "), F.col("source_index").cast("string"))).cast("boolean")
-        new = new.where(F.when(F.expr(f"source_index div {run.chunk_rows}") != F.col("chunk"), stray).otherwise(True))
+        edge = lambda at: F.element_at(F.split("chunk", "-"), at).cast("long")
+        new = new.where(F.when(~F.expr(f"source_index div {run.chunk_rows}").between(edge(1), edge(-1)), stray).otherwise(True))
     failed = new.where("failure is not null").count()
     out = publish.publish(
         merging.merge([*before, new.where("failure is null").select(*SCORED)]), merging.merge([*bad_before, bad.select(*jsonl.ERROR_COLUMNS)]), run.output, plan, run.score_semantics, run.single_file)

@@ -109,6 +109,55 @@ def test_a_cut_off_run_goes_on(spark, tmp_path):
         score(spark, run, code_points(), losses)
 
 
+def test_small_chunks_share_jobs(spark, tmp_path, monkeypatch):
+    """Jobs follow the work, not the number of chunks; each sample is scored once; what a cut-off job left is done again."""
+    from lossweave.plans import materialize
+
+    src, out, jobs, read = tmp_path / "in.jsonl", tmp_path / "out.jsonl", [], []
+    src.write_text("".join(json.dumps({"prompt": "p", "response": "r" * (i + 1)}) + "\n" for i in range(40)))
+    run = Scoring(str(src), str(out), template="qwen3_nothink", chunk_rows=1)
+    score_each, scores = scorers.score_each, jsonl.scores
+
+    def counted(samples, *rest):
+        jobs.append(sorted(r.source_index for r in samples.collect()))
+        return score_each(samples, *rest)
+
+    def some():
+        known = losses()
+
+        def one(ids, r, t):
+            if len(r) % 3 == 0:
+                raise RuntimeError("no memory")
+            return known(ids, r, t)
+
+        return one
+
+    monkeypatch.setattr(scorers, "score_each", counted)
+    monkeypatch.setattr(jsonl, "scores", lambda *a, **b: read.append(a) or scores(*a, **b))
+    assert score(spark, run, code_points(), some)["failed_records"] == 13
+    assert sorted(sum(jobs, [])) == list(range(40)) and len(jobs) <= 8 and not read
+    jobs.clear()
+    assert score(spark, run, code_points(), losses)["output_records"] == 40
+    assert sorted(sum(jobs, [])) == list(range(2, 40, 3)) and len(jobs) <= 8 and len(read) == 1
+    assert lengths(out) == {str(i): i + 1 for i in range(40)}
+    files = Files(spark)
+    for name, whole in (("chunk=0", True), ("chunk=1-3", True), ("chunk=4-9", False)):
+        files.write(f"{tmp_path}/parts/{name}/{'_SUCCESS' if whole else 'part-0'}", "")
+    assert materialize._scored_chunks(files, f"{tmp_path}/parts") == {0, 1, 2, 3} and files.names(f"{tmp_path}/parts") == ["chunk=0", "chunk=1-3"]
+
+
+def test_slow_chunks_keep_their_jobs(spark, tmp_path, monkeypatch):
+    """Chunks that take long are durable one by one."""
+    from lossweave.plans import materialize
+
+    src, jobs, score_each = tmp_path / "in.jsonl", [], scorers.score_each
+    src.write_text("".join(json.dumps({"prompt": "p", "response": "r"}) + "\n" for _ in range(6)))
+    monkeypatch.setattr(materialize, "JOB_SECONDS", 0)
+    monkeypatch.setattr(scorers, "score_each", lambda samples, *rest: jobs.append(samples.count()) or score_each(samples, *rest))
+    assert score(spark, Scoring(str(src), str(tmp_path / "out.jsonl"), template="qwen3_nothink", chunk_rows=2), code_points(), losses)["output_records"] == 6
+    assert jobs == [2, 2, 2]
+
+
 def test_files_swap_and_recover(spark, tmp_path):
     files, path = Files(spark), f"file://{tmp_path}/a.json"
     files.write(path, '"é"')
