@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 SCORE_COLUMNS = ("sample_id", "sequence_token_count", "response_token_count", "baseline_response_target_nll_sum", "token_scores")
 SCORE_SCHEMA = "_source_index long, _score_method string, sample_id string, sequence_token_count int, response_token_count int, baseline_response_target_nll_sum double, token_scores array<double>"
+#: What a score row's index and method are told by.
+KEY_SCHEMA = "_source_index long, _score_method string, sample_id string"
 ERROR_COLUMNS = ("source_index", "line_number", "sample_id", "error_type", "error")
 ERROR_SCHEMA = "source_index long, line_number long, sample_id string, error_type string, error string"
 
@@ -54,20 +56,22 @@ def strict(rows: DataFrame) -> DataFrame:
 BLOCK = 1_000_000
 
 
-def _increasing(rows: DataFrame, key: str, what: str) -> DataFrame:
+def _increasing(rows: DataFrame, keys: DataFrame, key: str, what: str) -> DataFrame:
     """rows, failing where ``key`` does not grow from line to line.
 
-    Lines are compared within blocks of ``BLOCK``; a block's first line is
-    compared with the largest key of all blocks before, a table of one row per
-    block.
+    ``keys`` are line_index and key of the same lines: only they are put in
+    order, and rows stay where they are.  Lines are compared within blocks of
+    ``BLOCK``; a block's first line is compared with the largest key of all
+    blocks before, a table of one row per block.
     """
-    block = F.floor(F.col("line_index") / BLOCK)
+    keys = keys.withColumn("_block", F.floor(F.col("line_index") / BLOCK))
     w = Window.partitionBy("_block").orderBy("line_index")
-    tops = rows.groupBy(block.alias("_block")).agg(F.max(key).alias("_top"))
+    tops = keys.groupBy("_block").agg(F.max(key).alias("_top"))
     tops = tops.select("_block", F.expr("max(_top) over (order by _block rows between unbounded preceding and 1 preceding)").alias("_above"))
-    marked = rows.withColumn("_block", block).join(F.broadcast(tops), "_block").withColumn("_before", F.coalesce(F.lag(key).over(w), "_above"))
-    fail = F.raise_error(F.concat(F.lit(f"{what}: index not increasing at line "), (F.col("line_index") + 1).cast("string")))
-    return marked.where(F.when(F.col("_before") >= F.col(key), fail.cast("boolean")).otherwise(True)).select(*rows.columns)
+    marked = keys.join(F.broadcast(tops), "_block").withColumn("_before", F.coalesce(F.lag(key).over(w), "_above"))
+    wrong = marked.where(F.col("_before") >= F.col(key)).agg(F.min("line_index").alias("_wrong"))
+    fail = F.raise_error(F.concat(F.lit(f"{what}: index not increasing at line "), (F.col("_wrong") + 1).cast("string"))).cast("boolean")
+    return rows.crossJoin(F.broadcast(wrong)).where(F.when(F.col("_wrong").isNotNull(), fail).otherwise(True)).select(*rows.columns)
 
 
 def scores(spark: SparkSession, path: str, method: str | None = None, public: bool = True, strict: bool = False) -> DataFrame:
@@ -82,14 +86,13 @@ def scores(spark: SparkSession, path: str, method: str | None = None, public: bo
         rows = rows.where(F.when(F.col("value").rlike("^\\s*$"), blank).otherwise(True))
     else:
         rows = rows.where(F.trim("value") != "")
-    rows = rows.withColumn("s", F.from_json("value", SCORE_SCHEMA)).select("line_index", "s.*")
     index = F.coalesce("_source_index", F.try_to_number("sample_id", F.lit("99999999999999999")).cast("long")) if public else F.col("_source_index")
     bad = F.when(index.isNull(), "no index")
     if method is not None:
         bad = F.coalesce(bad, F.when(~F.col("_score_method").eqNullSafe(method), "other score method"))
     fail = F.raise_error(F.concat(F.lit("score line "), (F.col("line_index") + 1).cast("string"), F.lit(": "), bad))
-    rows = rows.withColumn("source_index", F.when(bad.isNull(), index).otherwise(fail.cast("long")))
-    return _increasing(rows, "source_index", "score file")
+    read = lambda schema: rows.withColumn("s", F.from_json("value", schema)).select("line_index", "s.*").withColumn("source_index", F.when(bad.isNull(), index).otherwise(fail.cast("long")))
+    return _increasing(read(SCORE_SCHEMA), read(KEY_SCHEMA).select("line_index", "source_index"), "source_index", "score file")
 
 
 def errors(spark: SparkSession, path: str) -> DataFrame:
@@ -101,4 +104,4 @@ def errors(spark: SparkSession, path: str) -> DataFrame:
     bad = F.when(~F.col("_keys").eqNullSafe(F.array(*map(F.lit, names))), "unexpected keys").when(~F.col("line_number").eqNullSafe(F.col("source_index") + 1), "line_number is not source_index + 1")
     fail = F.raise_error(F.concat(F.lit("error line "), (F.col("line_index") + 1).cast("string"), F.lit(": "), bad))
     rows = rows.withColumn("source_index", F.when(bad.isNull(), F.col("source_index")).otherwise(fail.cast("long"))).drop("_keys")
-    return _increasing(rows, "source_index", "error file")
+    return _increasing(rows, rows.select("line_index", "source_index"), "source_index", "error file")

@@ -1,6 +1,7 @@
 """Files, runs, merging and settings."""
 
 import json
+import re
 from dataclasses import replace
 
 import pytest
@@ -211,6 +212,15 @@ def test_order_is_checked(spark, tmp_path, monkeypatch):
             jsonl.scores(spark, str(path)).collect()
 
 
+def test_scores_are_not_moved_to_check_their_order(spark, tmp_path):
+    """Only lines' numbers and indices are put in order, however long the rows."""
+    path = tmp_path / "s.jsonl"
+    path.write_text(json.dumps({"sample_id": "3", "sequence_token_count": 2, "response_token_count": 1, "baseline_response_target_nll_sum": 0.5, "token_scores": [0.5]}))
+    plan = jsonl.scores(spark, str(path))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = re.findall(r"\) Exchange *\nInput \[\d+\]: \[(.*)\]", plan)
+    assert moved and not any("token_scores" in x or "value" in x for x in moved)
+
+
 def test_scorers(spark):
     grad = scorers.gradient_scorer(lambda ids, t: ({2: -1.25, 3: 2.5}, 3.0))()
     assert grad([1, 2, 3, 4], [2, 3], [2, 3]) == ([1.25, -2.5], 3.0)
