@@ -23,13 +23,16 @@ def wrong_rank(parts: DataFrame, world: int, index: str = "source_index") -> Dat
     return parts.where(F.pmod(F.col(index), F.lit(world)) != F.col("rank"))
 
 
-def merge(parts: list[DataFrame], index: str = "source_index") -> DataFrame:
+def merge(parts: list[DataFrame], index: str = "source_index", ordered: bool = False) -> DataFrame:
     """Union of parts with one row per index.  Equal repeats collapse; different ones, by value, fail.
 
     Least and greatest row of an index are compared as values, nulls and their
-    places included, so their types must have an order (no maps).
+    places included, so their types must have an order (no maps).  ``ordered``
+    deals rows to tasks by ranges of the index, so that a sort by it moves none.
     """
     rows = reduce(lambda a, b: a.unionByName(b), parts)
+    if ordered:
+        rows = rows.repartitionByRange(index)
     values = [c for c in rows.columns if c != index]
     one = rows.select(index, F.struct(*values).alias("v")).groupBy(index).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     fail = F.raise_error(F.concat(F.lit("conflicting results for index "), F.col(index).cast("string"))).cast("boolean")

@@ -23,6 +23,16 @@ class Scorer(Protocol):
 SCORED = "source_index long, sample_id string, sequence_token_count int, response_token_count int, baseline_response_target_nll_sum double, token_scores array<double>"
 
 
+def _lists(column: pa.ListArray) -> Iterator[list[int] | None]:
+    """The lists of a column; its numbers become Python ones all at once, not one by one."""
+    if column.null_count or column.values.null_count:
+        yield from column.to_pylist()
+        return
+    off = column.offsets.to_numpy()
+    for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        yield column.values[i:j].to_numpy().tolist()
+
+
 def score_each(samples: DataFrame, build: Callable[[], Scorer], transform: str = "signed", fail_fast: bool = False) -> DataFrame:
     """Score rows of encoded samples by any model, with ``failure``: what went wrong with a sample, or null.
 
@@ -40,7 +50,7 @@ def score_each(samples: DataFrame, build: Callable[[], Scorer], transform: str =
         scorer = build()
         for batch in batches:
             rows = []
-            for sample in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            for sample in zip(*(_lists(batch.column(i)) for i in (2, 3, 4)), strict=True):
                 try:
                     rows.append(one(scorer, *sample))
                 except Exception as e:

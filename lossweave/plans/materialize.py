@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lossweave.functions import ranking as R
+from lossweave.functions import sequences as S
 from lossweave.functions.tokenizers import Encode
 from lossweave.operators import alignment, merging, records, scorers, selection
 from lossweave.plans import provenance
@@ -35,12 +36,14 @@ def encoded_samples(spark: SparkSession, run: Scoring, encode: Encode, bos: int
 
 def _encoded_parts(spark: SparkSession, run: Scoring, encode: Encode, bos: int | None, parts: str, files: Files) -> DataFrame:
     """Encoded samples and classified errors of the run's range, each encoded once, in folders of ``chunk_rows`` lines."""
-    at = f"{parts}/encoded"
+    at = f"{parts}/samples"
     if not files.exists(f"{at}/_SUCCESS"):
         samples = encoded_samples(spark, run, encode, bos)
-        keep = ("source_index", "sample_id", "token_ids", "response_positions", "target_positions", "error_type", "error")
-        samples.select(*keep, F.expr(f"source_index div {run.chunk_rows}").alias("chunk")).write.mode("overwrite").partitionBy("chunk").parquet(at)
-    return spark.read.schema("source_index long, sample_id string, token_ids array<int>, response_positions array<int>, target_positions array<int>, error_type string, error string, chunk long").parquet(at)
+        # Places stand for the positions, which take twice the room of the ids.
+        keep = ("source_index", "sample_id", "token_ids", "places", "error_type", "error")
+        samples.select(*keep, F.expr(f"source_index div {run.chunk_rows}").alias("chunk")).write.mode("overwrite").option("compression", "zstd").partitionBy("chunk").parquet(at)
+    kept = spark.read.schema(f"source_index long, sample_id string, token_ids array<int>, places array<{S.PLACE}>, error_type string, error string, chunk long").parquet(at)
+    return kept.withColumns({"response_positions": S.response_positions(F.col("places")), "target_positions": S.target_positions(F.col("places"))}).drop("places")
 
 
 def _scored_chunks(files: Files, scores: str) -> set[int]:
@@ -94,7 +97,7 @@ def score(spark: SparkSession, run: Scoring, encode: Encode, build: Callable[[],
         files.write(f"{parts}/plan.json", json.dumps(plan))
     if files.exists(run.output):
         old = jsonl.scores(spark, run.output).select(*SCORED)
-        old.write.mode("overwrite").parquet(f"{parts}/before")  # parsed and checked whole, once, before any model is loaded
+        old.write.mode("overwrite").option("compression", "zstd").parquet(f"{parts}/before")  # parsed and checked whole, once, before any model is loaded
         before.append(spark.read.schema(old.schema).parquet(f"{parts}/before"))
     samples = _encoded_parts(spark, run, encode, bos, parts, files)
     good, bad = records.split_errors(samples)
@@ -112,7 +115,7 @@ def score(spark: SparkSession, run: Scoring, encode: Encode, build: Callable[[],
         if run.partitions:
             todo = todo.repartition(run.partitions)
         at = f"{parts}/scores/chunk={first}" + (f"-{last}" if last > first else "")
-        scorers.score_each(todo, build, run.score_transform, run.fail_fast).write.mode("overwrite").parquet(at)
+        scorers.score_each(todo, build, run.score_transform, run.fail_fast).write.mode("overwrite").option("compression", "zstd").parquet(at)
         size = max(1, min(4 * len(now), int(len(now) * JOB_SECONDS / max(time.monotonic() - began, 0.001))))
         for n in (k - chunks[0] + 1 for k in now):
             if run.progress_interval and n % run.progress_interval == 0:
@@ -125,7 +128,7 @@ def score(spark: SparkSession, run: Scoring, encode: Encode, build: Callable[[],
         new = new.where(F.when(~F.expr(f"source_index div {run.chunk_rows}").between(edge(1), edge(-1)), stray).otherwise(True))
     failed = new.where("failure is not null").count()
     out = publish.publish(
-        merging.merge([*before, new.where("failure is null").select(*SCORED)]), merging.merge([*bad_before, bad.select(*jsonl.ERROR_COLUMNS)]), run.output, plan, run.score_semantics, run.single_file)
+        merging.merge([*before, new.where("failure is null").select(*SCORED)], ordered=True), merging.merge([*bad_before, bad.select(*jsonl.ERROR_COLUMNS)]), run.output, plan, run.score_semantics, run.single_file)
     files.delete(parts)
     return out | ({"failed_records": failed} if failed else {})
 
@@ -169,8 +172,6 @@ def training_set(rows: DataFrame, scores: DataFrame, config: Selection, template
     talks = records.conversations(joined.withColumn("bad", F.lit(None).cast("string")))
     # Only scored rows must be sound; naming a score column keeps the check above the join.
     talks = alignment.fail_on(talks.withColumn("_why", F.when(F.col("_selection_sample_id").isNotNull(), F.col("error"))), "_why", "row_index").drop("error_type", "error")
-    from lossweave.functions import sequences as S
-
     encoded = talks.withColumn("encoded", S.encoded_turns(F.col("turns"), F.col("system"), template, encode, bos))
     return selection.train_examples(encoded, config, cutoff, encode, train_on_prompt, eos)
 

@@ -4,6 +4,7 @@ import json
 import re
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -221,6 +222,25 @@ def test_scores_are_not_moved_to_check_their_order(spark, tmp_path):
     assert moved and not any("token_scores" in x or "value" in x for x in moved)
 
 
+def test_a_run_moves_and_keeps_little(spark, tmp_path):
+    """Samples are kept with places instead of positions, and a score file takes one shuffle of the scores."""
+    src, out = tmp_path / "in.jsonl", tmp_path / "out.jsonl"
+    src.write_text("".join(json.dumps({"prompt": "p", "response": "r" * 5}) + "\n" for _ in range(3)))
+
+    def gone(ids, r, t):
+        raise RuntimeError("the model is gone")
+
+    with pytest.raises(Exception, match="the model is gone"):
+        score(spark, Scoring(str(src), str(out), template="qwen3_nothink", fail_fast=True), code_points(), lambda: gone)
+    assert not any("positions" in c for c in spark.read.parquet(f"{out}.parts/samples").columns)
+    rows = spark.range(20).selectExpr("id as source_index", "array(id) as token_scores")
+    ordered = merging.merge([rows], ordered=True).orderBy("source_index")
+    assert ordered._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert [r.source_index for r in ordered.collect()] == list(range(20))
+    column = pa.array([[9], [1, 2], [], [3]], pa.list_(pa.int32()))
+    assert list(scorers._lists(column.slice(1))) == [[1, 2], [], [3]] and list(scorers._lists(pa.array([[1, None], None]))) == [[1, None], None]
+
+
 def test_scorers(spark):
     grad = scorers.gradient_scorer(lambda ids, t: ({2: -1.25, 3: 2.5}, 3.0))()
     assert grad([1, 2, 3, 4], [2, 3], [2, 3]) == ([1.25, -2.5], 3.0)
